@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import look_alike_pairs
+from tessera.llm.quality import document_statistics, not_prose, outlier_scores
 from tessera.llm.splitting import oversized, with_pieces
 from tessera.llm.vectors import most_similar, neighbour_pairs
+from tessera.session import cut_lineage
 from tessera.sources.tables import read_table
 
 
@@ -27,6 +29,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Texts below this score are ordinary in every statistic; measured far below the scores of texts with few sentences.
+LEAST_SCORE = 3.0
+
 SPLIT_TABLES = (("phapdien_unified", "content_text"), ("anle_unified", "content_markdown"))
 
 
@@ -49,6 +54,18 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality statistics and outlier score of every text."""
+    documents = read_table(spark, folder, "documents")
+    statistics = document_statistics(documents, read_table(spark, folder, "common_words"))
+    return outlier_scores(cut_lineage(statistics))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that are not natural prose."""
+    return not_prose(p8_scores(spark, folder), LEAST_SCORE).select("doc_id")
+
+
 _WHITE = "\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
 
@@ -57,6 +74,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
 }
 
 SQL = {
