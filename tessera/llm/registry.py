@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import look_alike_pairs
+from tessera.llm.names import link_spellings, spelling_pairs
 from tessera.llm.quality import document_statistics, not_prose, outlier_scores
 from tessera.llm.splitting import oversized, with_pieces
 from tessera.llm.vectors import most_similar, neighbour_pairs
@@ -13,6 +14,16 @@ from tessera.session import cut_lineage
 from tessera.sources.tables import read_table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of different spellings of one bearer."""
+    return spelling_pairs(link_spellings(read_table(spark, folder, "extracted_entity"), "mention_id", "name", "type"))
+
+
+def p1_bearers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling with its bearer."""
+    return link_spellings(read_table(spark, folder, "extracted_entity"), "mention_id", "name", "type")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks of which at least one is among the five most similar of the other."""
     similar = most_similar(read_table(spark, folder, "chunk"), "chunk_id", "embedding")
@@ -70,6 +81,8 @@ _WHITE = "\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_bearers": p1_bearers,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
