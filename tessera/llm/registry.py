@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import look_alike_pairs
+from tessera.llm.mixing import distinct_texts, reached_shares, select_mix
 from tessera.llm.names import link_spellings, spelling_pairs
+from tessera.llm.packing import fill_report, pack
 from tessera.llm.quality import document_statistics, not_prose, outlier_scores
 from tessera.llm.splitting import oversized, with_pieces
+from tessera.llm.tokens import with_tokens
 from tessera.llm.vectors import most_similar, neighbour_pairs
 from tessera.session import cut_lineage
 from tessera.sources.tables import read_table
@@ -65,6 +68,39 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def sized_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of every document."""
+    documents = read_table(spark, folder, "documents").select("doc_id", "source", "text")
+    return with_tokens(documents, "text").select("doc_id", "source", "n_tokens")
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text in containers of every kind, mixed like the targets."""
+    shares = {r.source: r.target_share for r in read_table(spark, folder, "mix_targets").collect()}
+    return pack(cut_lineage(sized_documents(spark, folder)), read_table(spark, folder, "pack_limits"), shares)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers are filled."""
+    return fill_report(p6_containers(spark, folder))
+
+
+def p7_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of the mix with their copies and memberships."""
+    texts = with_tokens(distinct_texts(read_table(spark, folder, "documents"), "doc_id", "text", "source"), "text")
+    return select_mix(cut_lineage(texts), read_table(spark, folder, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that are used, and how often."""
+    return p7_mixed(spark, folder).drop("posterior")
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share that each source reaches."""
+    return reached_shares(cut_lineage(p7_mixed(spark, folder)), read_table(spark, folder, "mix_targets"))
+
+
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Quality statistics and outlier score of every text."""
     documents = read_table(spark, folder, "documents")
@@ -87,6 +123,10 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_selection": p7_selection,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
 }
