@@ -26,7 +26,7 @@ def split_items(sized: DataFrame, limits: DataFrame, kind: str = "container_kind
     The kinds are a short fixed list; those without a positive capacity are left out.
     """
     kinds = [(r[0], r[1]) for r in limits.where(F.col(kind).isNotNull() & (F.col(capacity) > 0)).select(kind, F.col(capacity).cast("long")).distinct().collect()]
-    each = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in sorted(kinds)])
+    each = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in sorted(kinds)]).cast("array<struct<container_kind:string,capacity:bigint>>")
     rows = sized.where("n_tokens > 0").select("doc_id", F.coalesce("source", F.lit(OTHER)).alias("source"), "n_tokens", F.inline(each))
     rows = rows.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.col("capacity"))))
     return rows.select(
