@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ PATTERNS = {
     "DIEU": r"(?iU)(?:khoản\s+\d+[a-z]?\s+)?Điều\s+\d+[a-z]?",
     "KHUNG_HINH_PHAT": r"(?iU)(?:phạt\s+)?(?:tù|cải tạo không giam giữ|cảnh cáo|phạt tiền)[\s\w]+(?:năm|tháng|triệu|tỷ)",
 }
+# What a match of a pattern contains, in lower case; texts without any of it need no search.
+HINTS = {"VBPL": ("/",), "DIEU": ("điều",), "KHUNG_HINH_PHAT": ("tù", "cải tạo không giam giữ", "cảnh cáo", "phạt tiền")}
 LAW_NAME = r"(?iU)(Bộ luật|Luật|Pháp lệnh|Nghị quyết|Nghị định|Thông tư liên tịch|Thông tư|Quyết định)\s+(?:số\s+)?([\w/.\-]+)"
 ITEM_ID = r"ItemID=(\d+)"
 SIGNALS = r"(?iU)sửa đổi|bổ sung|thay thế|bãi bỏ|hết hiệu lực|hướng dẫn thi hành|quy định chi tiết|theo quy định tại|căn cứ\s|dẫn chiếu|được quy định tại"
@@ -31,9 +34,12 @@ RESULT = "struct<entities:array<struct<name:string,type:string>>,relations:array
 
 def entities_in(text: Column, patterns: dict[str, str] = PATTERNS) -> Column:
     """array<struct<type,name>>: every match of each pattern, trimmed, without trailing marks, each (type, name) once (STR17-20, AGG14).
-    Ordered by pattern, then by first match. Null gives an empty array."""
-    found = [_matches(text, kind, pattern) for kind, pattern in patterns.items()]
-    return F.coalesce(F.array_distinct(F.filter(F.concat(*found), lambda e: e["name"] != "")), F.array().cast("array<struct<type:string,name:string>>"))
+    Ordered by pattern, then by first match. Null gives an empty array. A pattern is only searched in texts that hold one of its hints,
+    for folding case at every position is what costs."""
+    lower, none = F.lower(text), F.array().cast("array<struct<type:string,name:string>>")
+    hinted = {kind: reduce(Column.__or__, [F.contains(lower, F.lit(h)) for h in HINTS[kind]]) if kind in HINTS else F.lit(True) for kind in patterns}
+    found = [F.when(hinted[kind], _matches(text, kind, pattern)).otherwise(none) for kind, pattern in patterns.items()]
+    return F.coalesce(F.array_distinct(F.filter(F.concat(*found), lambda e: e["name"] != "")), none)
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
@@ -66,6 +72,11 @@ def has_signal(text: Column) -> Column:
     return F.coalesce(text.rlike(SIGNALS), F.lit(False))
 
 
+def fill_prompt(template: str, context: str, content: str) -> str:
+    """A prompt with its two places filled (SRC9, STR25). The fixed part of the template stays in front, where a server can cache it."""
+    return template.replace("{context}", context).replace("{content}", content)
+
+
 def to_extract(chunks: DataFrame, done: DataFrame) -> DataFrame:
     """(chunk_id, context, content) of chunks with a signal that are not done yet (JON5, FLT4, FLT5, STR24, STR25). The cheap filter runs
     before the join, and both before any model. Content is cut at 4,000 characters, which is what the model takes."""

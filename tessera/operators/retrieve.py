@@ -132,3 +132,14 @@ def hashed_embeddings(passages: DataFrame, key: str, text: str, size: int = 64)
             yield pd.Series(out)
 
     return passages.select(F.col(key).alias("key"), embed(F.col(text)).alias("embedding"))
+
+
+def with_vectors(chunks: DataFrame, embeddings: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Chunks with the ``embedding`` of (key, embedding), null where there is none (SNK11); of several vectors of a key the smallest counts."""
+    one = embeddings.groupBy(F.col("key").alias("_key")).agg(F.min("embedding").alias("embedding"))
+    return chunks.drop("embedding").join(one, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def cut_off(chunks: DataFrame, length: str, limit: int) -> DataFrame:
+    """Adds ``cut_off``: whether a passage is longer than a model takes (FLT11); a null length is not."""
+    return chunks.withColumn("cut_off", F.coalesce(F.col(length) > limit, F.lit(False)))

@@ -102,3 +102,36 @@ def test_stream_resumes(spark, tmp_path):
 def test_entry_point(spark):
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "statute_chunks" in entry.queries()
+
+
+def test_pipelines(spark, tmp_path):
+    from tessera.plans.corpus import STATUTE_TABLES, Job, chunk_and_link, load_judgments, load_statutes, report_chunks, report_judgments, report_statutes
+
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    article = {"record_id": "r1", "article_id": "Điều 1", "article_title": "T", "chapter_title": "C", "topic_id": "1", "topic_number": "1", "subject_id": "s", "subject_number": "2", "content_text": "Theo Luật số 1/2030/QH16, điều 5.", "content_char_len": "9", "content_word_count": "3", "source_links_json": '[{"text":"Luật số 1/2030","href":"?ItemID=7"}]', "topic_title_vi": "own", "subject_title_vi": "own", "source_note_text": None, "related_note_text": None, "source_url": None, "scraped_at": "x"}
+    tables = {
+        "articles": [article],
+        "ontology_topics": [{"topic_id": "1", "topic_title_vi": "Chủ đề", "topic_title_en": "e", "topic_note": "n", "ord": "1"}],
+        "ontology_subjects": [{"subject_id": "s", "subject_title_vi": "Đề mục", "subject_title_en": "e", "ord": "1"}],
+    }
+    for name in STATUTE_TABLES:
+        rows = tables.get(name, [{"id": "1", "note": None}])
+        spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{c} string" for c in rows[0])).write.parquet(f"{raw}/{name}.parquet")
+    judgment = {c: "" for c in ("doc_name", "doc_code", "precedent_number", "title", "subject", "case_type", "doc_type", "court_level", "jurisdiction", "applied_article_code", "principle_text", "detail_url", "markdown", "text_hash", "parser_model")} | {"doc_name": "d"}
+    df = spark.createDataFrame([tuple(judgment.values())], ", ".join(f"{c} string" for c in judgment))
+    df.select("*", F.lit(2030).cast("long").alias("year"), F.lit(5).cast("long").alias("applied_article_number"), F.lit(0).cast("long").alias("applied_article_clause"), F.lit(4).cast("long").alias("char_len")).write.parquet(f"{raw}/documents.parquet")
+    spark.createDataFrame([("d", "p", "findings", "text", "0", "0.0", "Câu dài hơn mười chữ.")], "doc_name string, paragraph_id string, section_kind string, paragraph_kind string, index_in_paragraph string, global_index string, text string").write.parquet(f"{raw}/sentences.parquet")
+    unified = load_statutes(spark, Job(raw, out))
+    assert unified.first().hierarchy_path == "Chủ đề > Đề mục > C > T"
+    judgments, _ = load_judgments(spark, Job(raw, out))
+    nodes, edges = chunk_and_link(spark, Job(out, out))
+    assert {(r.id, r.label) for r in nodes.collect()} >= {("r1", "ARTICLE"), ("d", "AN_LE"), ("VBPL::7", "ENTITY"), ("ENT::DIEU::điều 5", "ENTITY"), ("ENT::VBPL::luật số 1/2030/qh16", "ENTITY")}
+    assert {r.type for r in edges.collect()} == {"BELONGS_TO", "MENTIONS", "APPLIES_ARTICLE", "THUOC"}
+    assert all(df.count() >= 0 for df in [*report_statutes(unified).values(), *report_judgments(judgments).values(), report_chunks(spark.read.parquet(f"{out}/statute_chunks.parquet"))])
+
+
+def test_vectors_on_chunks(spark):
+    chunks = spark.createDataFrame([("a", 5), ("b", None)], "chunk_id string, n int")
+    vectors = spark.createDataFrame([("a", [2.0]), ("a", [1.0])], "key string, embedding array<float>")
+    assert [(r.chunk_id, r.embedding) for r in retrieve.with_vectors(chunks, vectors).orderBy("chunk_id").collect()] == [("a", [1.0]), ("b", None)]
+    assert [r.cut_off for r in retrieve.cut_off(chunks, "n", 4).orderBy("chunk_id").collect()] == [True, False]
