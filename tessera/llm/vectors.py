@@ -33,9 +33,9 @@ class Search:
     size: int = 64
     shard_rows: int = 400
     max_pivots: int = 65_536
-    route_factor: float = 24.0
-    tree_factor: float = 7.0
-    bound_factor: float = 1.5
+    route_factor: float = 20.0
+    tree_factor: float = 6.0
+    bound_factor: float = 1.75
     leaf_rows: int = 96
     hot_copies: int = 200
 
