@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import cut_lineage
+
 # Letters of other scripts that are drawn like a Latin letter.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
@@ -162,7 +164,8 @@ def look_alike_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
     texts are shuffled once; a group of records with one and the same text makes no pairs within itself.
     """
     rows = records.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull() & F.col("_text").isNotNull())
-    formed = with_canonical(rows, "_text", "_form").select("_key", F.sha2("_form", 256).alias("_form"), F.sha2("_text", 256).alias("_raw")).distinct()
+    formed = with_canonical(rows, "_text", "_form").select("_key", F.sha2("_form", 256).alias("_form"), F.sha2("_text", 256).alias("_raw"))
+    formed = cut_lineage(formed.distinct())  # three readers follow; texts are formed once
     mixed = formed.groupBy("_form").agg(F.min("_raw").alias("_low"), F.max("_raw").alias("_high")).where("_low != _high").select("_form")
     formed = formed.join(mixed, "_form", "left_semi")
     left = formed.select("_form", F.col("_key").alias("key_a"), F.col("_raw").alias("_raw_a"))
