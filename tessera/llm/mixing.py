@@ -28,7 +28,7 @@ def distinct_texts(documents: DataFrame, key: str, text: str, source: str) -> Da
 
 
 def _bucket_counts(texts: DataFrame, keys: list[str]) -> DataFrame:
-    words = F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"))
+    words = F.explode_outer(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"))
     exploded = texts.select(*keys, words.alias("word")).where("word != ''")
     return exploded.groupBy(*keys, F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n"))
 

@@ -64,7 +64,7 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for table, column in SPLIT_TABLES:
         pieces = with_pieces(oversized(read_table(spark, folder, table), "doc_id", column), "text", "pieces")
-        parts.append(pieces.select(F.lit(table).alias("source_table"), "doc_id", F.inline("pieces")))
+        parts.append(pieces.select(F.lit(table).alias("source_table"), "doc_id", F.inline_outer("pieces")).where("piece IS NOT NULL"))
     return parts[0].unionByName(parts[1])
 
 
