@@ -98,7 +98,7 @@ def recursive_pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def _chunk_rows(df: DataFrame, prefix: Column, identity: Column, meta: list[Column]) -> DataFrame:
     """Explodes ``chunks`` (array of text and type) into rows with ordinals, totals, ids and lengths (ARR1, WIN1, STR14-16, AGG16)."""
-    rows = df.select("*", F.size("chunks").cast("long").alias("chunk_total"), F.posexplode("chunks").alias("_at", "_chunk"))
+    rows = df.select("*", F.size("chunks").cast("long").alias("chunk_total"), F.posexplode_outer("chunks").alias("_at", "_chunk")).where("_chunk IS NOT NULL")  # as a plain generator, it would be computed twice
     return rows.select(
         F.concat(identity, F.lit("::chunk::"), F.col("_at")).alias("chunk_id"),
         F.col("_at").cast("long").alias("chunk_index"),
@@ -242,7 +242,7 @@ def judgment_chunks(judgments: DataFrame, sentences: DataFrame, keep_all: bool =
     own = F.transform("_pieces", lambda p, i: F.struct(p["text"].alias("text"), p["section"].alias("kind"), i.cast("string").alias("name")))
     first = F.array(F.struct(F.col("_principle").alias("text"), F.lit("principle").alias("kind"), F.lit("principle").alias("name")))
     listed = pieces.withColumn("chunks", F.when(F.col("_principle") != "", F.concat(first, own)).otherwise(own))
-    out = listed.select("*", F.size("chunks").cast("long").alias("chunk_total"), F.posexplode("chunks").alias("_at", "_chunk"))
+    out = listed.select("*", F.size("chunks").cast("long").alias("chunk_total"), F.posexplode_outer("chunks").alias("_at", "_chunk")).where("_chunk IS NOT NULL")
     prefix = section_prefix(F.col("case_type"), F.col("title"), F.col("subject"), F.col("_chunk.kind"))
     lead = F.when(F.col("_chunk.kind") == "principle", F.lit("[Nguyên tắc pháp lý] ")).otherwise("")
     return out.select(
@@ -265,23 +265,19 @@ def sentences_of(judgments: DataFrame) -> DataFrame:
     'case_summary', 'findings', 'decision'. One row per document is read, the smallest text of a repeated doc_id.
     """
     one = judgments.where("doc_id IS NOT NULL AND content_markdown != ''").groupBy("doc_id").agg(F.min("content_markdown").alias("_text"))
-    lines = F.filter(F.split("_text", r"\r\n|[\r\n]"), lambda x: strip(x) != "")
-    state = F.struct(F.array().cast("array<struct<section:int,text:string>>").alias("out"), F.lit(0).alias("n"))
-
-    def step(acc: Column, line: Column) -> Column:
-        n = acc["n"] + line.rlike(r"^##\s").cast("int")
-        return F.struct(F.concat(acc["out"], F.array(F.struct(n.alias("section"), line.alias("text")))).alias("out"), n.alias("n"))
-
-    rows = one.select(F.col("doc_id").alias("doc_name"), F.posexplode(F.aggregate(lines, state, step, lambda acc: acc["out"])).alias("_line", "_p"))
+    headed = F.col("_text").rlike(r"^##\s").cast("int")  # then there is nothing before the first heading
+    rows = one.select(F.col("doc_id").alias("doc_name"), headed.alias("_first"), F.posexplode_outer(F.split("_text", r"(?m)(?=^##\s)")).alias("_section", "_part"))
+    rows = rows.select("doc_name", (F.col("_section") + F.col("_first")).alias("_section"), F.posexplode_outer(F.split("_part", r"\r\n|[\r\n]")).alias("_line", "_text"))
+    rows = rows.where(~F.col("_text").rlike(r"^#")).withColumn("_text", strip(F.col("_text"))).where("_text != ''")
     kinds = F.array(*map(F.lit, ("header", *SECTIONS, "footer")))
-    kind = F.element_at(kinds, F.least(F.col("_p.section") + 1, F.lit(5)))
-    rows = rows.where(~F.col("_p.text").rlike(r"^#")).select("doc_name", "_line", kind.alias("section_kind"), F.posexplode(F.split(strip(F.col("_p.text")), r"(?<=[.!?])\s+")).alias("index_in_paragraph", "text"))
+    kind = F.element_at(kinds, F.least(F.col("_section") + 1, F.lit(5)))
+    rows = rows.select("doc_name", "_section", "_line", kind.alias("section_kind"), F.posexplode_outer(F.split("_text", r"(?<=[.!?])\s+")).alias("index_in_paragraph", "text"))
     return rows.select(
         "doc_name",
-        F.concat(F.lit("p"), "_line").alias("paragraph_id"),
+        F.concat_ws(".", F.lit("p"), "_section", "_line").alias("paragraph_id"),
         "section_kind",
         F.when(F.col("text").rlike(r"^\d+[.)]\s"), "list_item").otherwise("text").alias("paragraph_kind"),
         F.col("index_in_paragraph").cast("long"),
-        (F.col("_line") * 100_000 + F.col("index_in_paragraph")).cast("long").alias("global_index"),
+        ((F.col("_section").cast("long") * 1_000_000 + F.col("_line")) * 100_000 + F.col("index_in_paragraph")).alias("global_index"),
         "text",
     )

@@ -49,13 +49,15 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
 
 def rule_entities(chunks: DataFrame) -> DataFrame:
     """(chunk_id, type, name, entity_id) of every entity that the rules find in a chunk's text; no shuffle."""
-    return chunks.select("chunk_id", F.inline(entities_in(F.col("chunk_text")))).withColumn("entity_id", entity_id(F.col("type"), F.col("name")))
+    # The outer form and a filter behind it: a plain generator would have the search run twice, once to test for an empty array.
+    found = chunks.select("chunk_id", F.inline_outer(entities_in(F.col("chunk_text")))).where("name IS NOT NULL")
+    return found.withColumn("entity_id", entity_id(F.col("type"), F.col("name")))
 
 
 def law_links(statutes: DataFrame) -> DataFrame:
     """(doc_id, item_id, name, url) of every usable link in ``source_links_json`` (JSN4, FLT6, STR22, STR23): it has an ItemID and its
     text names a law. Null or empty ids, null, broken and other JSON give none; repeated links stay."""
-    rows = statutes.where("doc_id != ''").select("doc_id", F.inline(F.from_json("source_links_json", LINKS)))
+    rows = statutes.where("doc_id != ''").select("doc_id", F.inline_outer(F.from_json("source_links_json", LINKS)))
     named = rows.select("doc_id", F.regexp_extract("href", ITEM_ID, 1).alias("item_id"), F.regexp_extract("text", LAW_NAME, 1).alias("kind"), F.regexp_extract("text", LAW_NAME, 2).alias("number"), F.col("href").alias("url"))
     return named.where("item_id != '' AND kind != ''").select("doc_id", "item_id", F.concat_ws(" số ", "kind", "number").alias("name"), "url")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -75,7 +78,7 @@ def terms(text: F.Column) -> F.Column:
 def inverted_index(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf, length): how often a term stands in a document (RET2); null texts have no terms. Counted before the shuffle."""
     rows = documents.select(F.col(key).alias("key"), terms(F.coalesce(text, F.lit(""))).alias("_terms"))
-    words = rows.select("key", F.size("_terms").alias("length"), F.explode("_terms").alias("term"))
+    words = rows.select("key", F.size("_terms").alias("length"), F.explode_outer("_terms").alias("term")).where("term IS NOT NULL")
     return words.groupBy("term", "key").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
 
@@ -84,13 +87,11 @@ def full_text(documents: DataFrame, question: str, k: int, key: str, text: str,
 
     Only the question's terms are exploded, so the scan keeps no other word. A repeated key counts as one document, the longest text.
     """
-    import re
-
     wanted = sorted(set(re.findall(r"[^\W_]+", question.lower())))
     one = documents.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(F.coalesce(text, F.lit(""))).alias("_text"))
     rows = one.select("key", terms(F.col("_text")).alias("_terms")).withColumn("length", F.size("_terms"))
     whole = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    hits = rows.select("key", "length", F.explode(F.filter("_terms", lambda w: w.isin(wanted))).alias("term"))
+    hits = rows.select("key", "length", F.explode_outer(F.filter("_terms", lambda w: w.isin(wanted))).alias("term")).where("term IS NOT NULL")
     tf = hits.groupBy("key", "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
     df = {r.term: r.df for r in tf.groupBy("term").agg(F.count("*").alias("df")).collect()}  # as many rows as the question has words
     idf = F.lit(0.0)
@@ -103,8 +104,6 @@ def full_text(documents: DataFrame, question: str, k: int, key: str, text: str,
 
 def fused(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     """(key, score): reciprocal rank fusion of rankings (key, rank) of a few rows each (RET4)."""
-    from functools import reduce
-
     each = reduce(DataFrame.unionByName, [r.select("key", "rank") for r in rankings])
     return each.groupBy("key").agg(F.round(F.sum(1 / (F.lit(constant) + F.col("rank"))), 9).alias("score")).orderBy(F.desc("score"), "key").limit(k)
 
@@ -115,8 +114,6 @@ def hashed_embeddings(passages: DataFrame, key: str, text: str, size: int = 64)
 
     @F.pandas_udf("array<float>")
     def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import zlib
-
         for batch in texts:
             out = []
             for words in batch.map(lambda t: t.lower().split(), na_action="ignore"):
