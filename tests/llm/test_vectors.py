@@ -29,7 +29,7 @@ def test_tree_is_exact_with_factor_one():
 
 def test_exact_search_over_shards(spark):
     points = clustered(600, 8, 1)
-    found = most_similar(frame(spark, points), "id", "vector", Search(size=8, shard_rows=60, route_factor=1, tree_factor=1, bound_factor=float("inf")))
+    found = most_similar(frame(spark, points), "id", "vector", Search(size=8, shard_rows=60, route_factor=1, tree_factor=1, bound_factor=float("inf"), half=False))
     got = {}
     for r in found.collect():
         got.setdefault(int(r.id[1:]), set()).add(int(r.neighbour[1:]))
