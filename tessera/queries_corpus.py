@@ -116,6 +116,11 @@ def statute_clauses(spark, folder):
     return rows.select("doc_id", F.size("c").alias("n_clauses"), F.size(merge_short(F.col("c"))).alias("n_merged"))
 
 
+def statute_clause_counts(spark, folder):
+    """Clauses of every article as they are cut."""
+    return statutes(spark, folder).select("doc_id", F.size(clauses(F.col("content_text"))).alias("n_clauses"))
+
+
 def statute_chunk_rows(spark, folder):
     return statute_chunks(statutes(spark, folder))
 
@@ -142,6 +147,7 @@ QUERIES = {
     "judgment_chunks": judgment_chunk_rows,
     "built_chunk_sizes": built_chunk_sizes,
     "statute_clauses": statute_clauses,
+    "statute_clause_counts": statute_clause_counts,
     "topic_report": topic_report,
     "subject_count": subject_count,
     "statute_word_summary": statute_word_summary,
@@ -195,7 +201,11 @@ _UNIFIED_SQL = f"""WITH t AS (
   )
   SELECT doc_id, article_id, topic_title_vi, topic_title_en, subject_title_vi, {"array_to_string(" + _PARTS + ", ' > ')"} AS hierarchy_path, topic_number, content_char_len FROM u"""
 
+_BLANK = "[\\s\\x{B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
 SQL = {
+    "statute_clause_counts": f"""SELECT doc_id, CASE WHEN coalesce(content_text, '') = '' THEN 0
+        ELSE greatest(1, CAST(len(regexp_extract_all(content_text, '(?m)^[1-9]\\p{{Nd}}?\\.{_BLANK}+[^\\n]{{15}}')) AS INTEGER)) END AS n_clauses FROM phapdien_unified""",
     "topic_report": "SELECT topic_id, count(*) AS n, avg(content_word_count) AS mean_words FROM phapdien_unified GROUP BY 1 ORDER BY n DESC, topic_id NULLS FIRST LIMIT 10",
     "subject_count": "SELECT count(DISTINCT subject_id) AS n_subjects FROM phapdien_unified",
     "statute_word_summary": _summary_sql("phapdien_unified", "content_word_count"),
