@@ -1,14 +1,25 @@
-"""Text functions on columns, evaluated in the JVM. White space is Unicode's unless said otherwise."""
+"""Text functions on columns, evaluated in the JVM. White space is Unicode's."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The characters with the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends; null stays null."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def safe(text: Column) -> Column:
@@ -18,13 +29,12 @@ def safe(text: Column) -> Column:
 
 def clean_lead(text: Column) -> Column:
     """Without the marks and white space that a cut leaves at the head, and stripped (STR6)."""
-    return strip(F.regexp_replace(text, r"(?U)^[\s.;,:]+", ""))
+    return strip(F.ltrim(text, F.lit(WHITE_SPACE + ".;,:")))
 
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for a blank text (STR15)."""
-    bare = strip(text)
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"(?U)\s+"))).cast("long")
+    return let(strip(text), lambda bare: F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"(?U)\s+")))).cast("long")
 
 
 def path(*parts: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import clean_lead, context_prefix, safe, section_prefix, strip, word_count
+from tessera.functions.text import clean_lead, context_prefix, let, safe, section_prefix, strip, word_count
 
 # What starts a clause, and where an oversized chunk may be split, the best place first.
 CLAUSE_SPLIT = r"(?mdU)(?=^[1-9]\d?\.\s+.{15,})"
@@ -31,12 +31,15 @@ JUDGMENT_META = (
 def clauses(text: Column) -> Column:
     """An article's clauses (STR1, STR2): what stands before the first is put before it with a line end; pieces are stripped; a text
     without clauses is one piece, an empty one none."""
-    pieces = F.split(text, CLAUSE_SPLIT)
-    headed = F.element_at(pieces, 1).rlike(CLAUSE_START)
-    lead = strip(F.element_at(pieces, 1))
-    merged = F.concat(F.array(F.concat_ws("\n", F.filter(F.array(lead, strip(F.try_element_at(pieces, F.lit(2)))), lambda x: x != ""))), F.slice(pieces, F.lit(3), F.greatest(F.size(pieces) - 2, F.lit(0))))
-    whole = F.when(headed | (F.size(pieces) < 2), pieces).otherwise(merged)
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.transform(whole, strip))
+
+    def gathered(pieces: Column) -> Column:
+        lead, second = strip(F.try_element_at(pieces, F.lit(1))), strip(F.try_element_at(pieces, F.lit(2)))
+        first = F.concat_ws("\n", F.filter(F.array(lead, second), lambda x: x != ""))
+        others = F.slice(pieces, F.lit(3), F.greatest(F.size(pieces) - 2, F.lit(0)))
+        whole = (F.size(pieces) < 2) | F.try_element_at(pieces, F.lit(1)).rlike(CLAUSE_START)
+        return F.transform(F.when(whole, pieces).otherwise(F.concat(F.array(first), others)), strip)
+
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(let(F.split(text, CLAUSE_SPLIT), gathered))
 
 
 def merge_short(pieces: Column, least: int = MIN_CHARS) -> Column:
@@ -53,7 +56,7 @@ def merge_short(pieces: Column, least: int = MIN_CHARS) -> Column:
         back = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(last))
         return F.when(acc["carry"] == "", acc["out"]).when(F.size(acc["out"]) == 0, F.array(acc["carry"])).otherwise(back)
 
-    return F.when(F.size(pieces) <= 1, pieces).otherwise(F.aggregate(pieces, state, step, finish))
+    return let(pieces, lambda p: F.when(F.size(p) <= 1, p).otherwise(F.aggregate(p, state, step, finish)))
 
 
 def split_recursively(text: str, limit: int = MAX_CHARS, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -215,7 +218,7 @@ def merge_short_sections(pieces: Column, least: int = MIN_CHARS) -> Column:
         alone = F.array(F.struct(acc["carry"].alias("text"), acc["section"].alias("section")))
         return F.when(acc["carry"] == "", acc["out"]).when(F.size(acc["out"]) == 0, alone).otherwise(back)
 
-    return F.when(F.size(pieces) <= 1, pieces).otherwise(F.aggregate(pieces, state, step, finish))
+    return let(pieces, lambda p: F.when(F.size(p) <= 1, p).otherwise(F.aggregate(p, state, step, finish)))
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("section", T.StringType())])))
