@@ -9,6 +9,7 @@ from tessera.functions.text import context_of, context_prefix, query_text, secti
 from tessera.operators import report
 from tessera.operators.chunking import clauses, judgment_chunks, merge_short, sentences_of, statute_chunks
 from tessera.operators.enrich import filled, unified_judgments, unified_statutes, whole_number, with_ontology
+from tessera.session import spread
 from tessera.sources.tables import latest_per_key, read_table
 
 
@@ -122,11 +123,11 @@ def statute_clause_counts(spark, folder):
 
 
 def statute_chunk_rows(spark, folder):
-    return statute_chunks(statutes(spark, folder))
+    return statute_chunks(spread(statutes(spark, folder)))
 
 
 def judgment_chunk_rows(spark, folder):
-    rows = judgments(spark, folder)
+    rows = spread(judgments(spark, folder))
     return judgment_chunks(rows.dropDuplicates(["doc_id"]), sentences_of(rows))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph, retrieve
 from tessera.operators.chunking import judgment_chunks, sentences_of, statute_chunks
 from tessera.operators.extract import applied_articles, extract_with_model, has_signal, law_links, resolved_relations, rule_entities, to_extract
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, spread
 from tessera.sources.tables import read_table
 
 
@@ -85,7 +85,7 @@ def chunk_laws(spark, folder):
 
 def _built(spark, folder):
     statutes, judgments = read_table(spark, folder, "phapdien_unified").dropDuplicates(["doc_id"]), read_table(spark, folder, "anle_unified").dropDuplicates(["doc_id"])
-    return graph.build_graph(cut_lineage(statute_chunks(statutes)), cut_lineage(judgment_chunks(judgments, sentences_of(judgments))), statutes, judgments)
+    return graph.build_graph(cut_lineage(statute_chunks(spread(statutes))), cut_lineage(judgment_chunks(judgments, sentences_of(judgments))), statutes, judgments)
 
 
 def built_nodes(spark, folder):
