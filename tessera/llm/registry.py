@@ -13,7 +13,7 @@ from tessera.llm.quality import document_statistics, not_prose, outlier_scores
 from tessera.llm.splitting import oversized, with_pieces
 from tessera.llm.tokens import with_tokens
 from tessera.llm.vectors import most_similar, neighbour_pairs
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, spread
 from tessera.sources.tables import read_table
 
 
@@ -70,7 +70,7 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def sized_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, source, n_tokens) of every document."""
-    documents = read_table(spark, folder, "documents").select("doc_id", "source", "text")
+    documents = spread(read_table(spark, folder, "documents").select("doc_id", "source", "text"))
     return with_tokens(documents, "text").select("doc_id", "source", "n_tokens")
 
 
@@ -87,7 +87,7 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_mixed(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of the mix with their copies and memberships."""
-    texts = with_tokens(distinct_texts(read_table(spark, folder, "documents"), "doc_id", "text", "source"), "text")
+    texts = with_tokens(distinct_texts(spread(read_table(spark, folder, "documents")), "doc_id", "text", "source"), "text")
     return select_mix(cut_lineage(texts), read_table(spark, folder, "mix_targets"))
 
 
@@ -103,7 +103,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Quality statistics and outlier score of every text."""
-    documents = read_table(spark, folder, "documents")
+    documents = spread(read_table(spark, folder, "documents"))
     statistics = document_statistics(documents, read_table(spark, folder, "common_words"))
     return outlier_scores(cut_lineage(statistics))
 
