@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.canonical import look_alike_pairs
+from tessera.llm.canonical import HYPHENS, LOOK_ALIKES, look_alike_pairs
 from tessera.llm.mixing import distinct_texts, reached_shares, select_mix
 from tessera.llm.names import link_spellings, spelling_pairs
 from tessera.llm.packing import fill_report, pack
@@ -116,6 +116,14 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 _WHITE = "\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
 
+_SPACES = "\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW_HYPHENS = "".join(h for h in HYPHENS if h not in _WIDE)
+_WRITTEN = "".join(LOOK_ALIKES) + _NARROW_HYPHENS + _SPACES + _WIDE
+_PLAIN = "".join(LOOK_ALIKES.values()) + "-" * len(_NARROW_HYPHENS) + " " * len(_SPACES) + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+_UNSEEN = "[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
+_FORM = f"""nfc_normalize(translate(regexp_replace(t, '{_UNSEEN}', '', 'g'), '{_WRITTEN.replace("'", "''")}', '{_PLAIN.replace("'", "''")}'))"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_bearers": p1_bearers,
@@ -132,6 +140,11 @@ QUERIES = {
 }
 
 SQL = {
+    "p3_found": f"""WITH a AS (
+          SELECT DISTINCT 'phapdien_unified' AS source_table, doc_id AS k, content_text AS t FROM phapdien_unified WHERE doc_id IS NOT NULL AND content_text IS NOT NULL
+          UNION ALL SELECT 'extracted_entity', min(mention_id), name FROM extracted_entity WHERE name IS NOT NULL GROUP BY name
+        ), f AS (SELECT source_table, k, t, {_FORM} AS f FROM a)
+        SELECT DISTINCT x.source_table, x.k AS key_a, y.k AS key_b FROM f x JOIN f y ON x.source_table = y.source_table AND x.f = y.f AND x.k < y.k AND x.t <> y.t""",
     "p4_found": "\nUNION ALL\n".join(
         f"""SELECT '{table}' AS source_table, doc_id,
   CASE WHEN regexp_matches(min({column}), '[^{_WHITE}]{{1000}}[^{_WHITE}]') THEN 'hard' ELSE 'boundary' END AS cut
