@@ -194,3 +194,9 @@ def outlier_scores(statistics: DataFrame) -> DataFrame:
 def not_prose(scored: DataFrame, least_score: float, most_sentences: float = 0.5) -> DataFrame:
     """Documents that stand out by their score and, checked exactly, have less than ``most_sentences`` of their characters in sentences."""
     return scored.where((F.col("score") >= least_score) & (F.col("sentence_share") < most_sentences))
+
+
+def few_sentences(statistics: DataFrame, most_sentences: float = 0.5) -> DataFrame:
+    """Documents with less than ``most_sentences`` of their characters in sentences. Each is judged by its own text alone, so other
+    documents, copies or a rare language change no verdict."""
+    return statistics.where(F.col("sentence_share") < most_sentences)

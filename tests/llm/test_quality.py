@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 
 from tessera.llm.quality import TAILS, document_statistics, not_prose, outlier_scores, sentence_share
+from tessera.llm.registry import p8_found
 
 PROSE = "Người nộp đơn phải bổ sung giấy xác nhận cư trú trước phiên hòa giải. Nếu hồ sơ còn thiếu, cơ quan tiếp nhận trả lại và nêu rõ lý do."
 JUNK = ["Xã Re Hiểu,\nXã Mữc Miềng,\nẤp Hiệt Sềo,", "| Cột 1 | Cột 2 |\n|---|---|\n| bản kê | 4977 |", "Lệ phí: 2155\nBút lục: x\nMã thửa: 58%", "=G9H+CG56CGfdD2b7G8facB+edHF7BFDD8EgB3dg56"]
@@ -42,3 +43,14 @@ def test_what_is_not_prose(spark):
     assert {20, 21, 22, 23} <= {r.doc_id for r in found.collect()} and not {r.doc_id for r in found.collect()} & set(range(20))
     assert outlier_scores(document_statistics(documents.limit(0), words)).count() == 0
     assert isinstance(found.toPandas(), pd.DataFrame)
+
+
+def found_in(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    frames(spark)[1].write.parquet(f"{folder}/common_words.parquet")
+    return {r.doc_id for r in p8_found(spark, str(folder)).collect()}
+
+
+def test_low_scores_hide_no_junk(spark, tmp_path):
+    rows = [(i, PROSE, "vi") for i in range(10)] + [(10, JUNK[0], "en"), (11, None, "vi"), (12, "", "vi")]
+    assert found_in(spark, tmp_path, rows) == {10}
