@@ -128,7 +128,7 @@ def _among(words: list[str]):
 
 
 def document_statistics(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per document that is neither null nor empty: key, language and the statistics named in ``TAILS``.
+    """One row per document that is neither null nor empty: key, language, a digest of the text and the statistics named in ``TAILS``.
 
     Ratios are rounded to four places, the mean length to two. A text without words has mean length and ratios of 0. Repeated rows
     stay repeated. All but the sentence share is computed in the JVM. The common words (lang, word) are a short fixed list that
@@ -151,6 +151,7 @@ def document_statistics(documents: DataFrame, common_words: DataFrame, key: str
     return rows.select(
         "doc_id",
         "lang",
+        F.sha2("text", 256).alias("digest"),
         n.cast("double").alias("word_count"),
         F.round(letters / F.greatest(n, F.lit(1)), 2).alias("mean_word_length"),
         ratio(F.regexp_count("text", F.lit(r"[^\p{L}\p{M}\p{N}\s]")), chars).alias("symbol_ratio"),
@@ -174,21 +175,35 @@ def tail_probabilities(statistics: DataFrame) -> DataFrame:
     return placed.join(totals, ["lang", "statistic"]).withColumn("at_least", F.col("of") - F.col("below"))
 
 
-def outlier_scores(statistics: DataFrame) -> DataFrame:
+#: The name under which the ranks of the whole corpus stand.
+CORPUS = "*"
+
+
+def outlier_scores(statistics: DataFrame, text: str | None = None, least_texts: int = 1) -> DataFrame:
     """The statistics with ``score``: the sum of minus the logarithm of each statistic's tail probability in its language.
 
-    The tail is the one named in ``TAILS``; for 'both' the smaller of the two counts. Every document is scored; a single document of a
-    language scores 0. The ranks are joined to the documents by value, whose skew AQE splits.
+    The tail is the one named in ``TAILS``; for 'both' the smaller of the two counts. Every row is scored by its values, so repeated and
+    null keys do no harm; a single document of a language scores 0. With ``text``, a column that is equal for equal texts, a text counts
+    once per language however many rows hold it. With ``least_texts`` above 1, 'other' and languages of fewer texts take the ranks of the
+    whole corpus. Rows are reduced to distinct values before the ranks are joined; a hot value is split by AQE.
     """
-    ranks = tail_probabilities(statistics)
+    texts = statistics if text is None else statistics.dropDuplicates(["lang", text])
+    ranked, rows = texts.select("lang", *TAILS), statistics.withColumn("_ranks", F.col("lang"))
+    if least_texts > 1:
+        # One row per known language, so the join by this hint stays small.
+        own = F.broadcast(texts.where("lang != 'other'").groupBy("lang").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_texts).select("lang", F.lit(True).alias("_own")))
+        rows = statistics.join(own, "lang", "left").withColumn("_ranks", F.when(F.col("_own"), F.col("lang")).otherwise(CORPUS)).drop("_own")
+        ranked = ranked.join(own, "lang", "left_semi").unionByName(ranked.withColumn("lang", F.lit(CORPUS)))
+    ranks = tail_probabilities(ranked)
     low, high = (F.col("below") + F.col("n")) / F.col("of"), F.col("at_least") / F.col("of")
     tail = F.lit(None)
     for name, side in TAILS.items():
         tail = F.when(F.col("statistic") == name, {"low": low, "high": high, "both": F.least(low, high)}[side]).otherwise(tail)
-    scores = ranks.select("lang", "statistic", "value", (-F.ln(tail)).alias("part"))
-    long = statistics.select("doc_id", "lang", F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in TAILS])))
-    summed = long.join(scores, ["lang", "statistic", "value"]).groupBy("doc_id").agg(F.sum("part").alias("score"))
-    return statistics.join(summed, "doc_id")
+    scores = ranks.select(F.col("lang").alias("_ranks"), "statistic", "value", (-F.ln(tail)).alias("part"))
+    values = ["_ranks", *TAILS]
+    long = rows.select(*values).distinct().select("*", F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in TAILS])))
+    summed = long.join(scores, ["_ranks", "statistic", "value"]).groupBy(*values).agg(F.sum("part").alias("score"))
+    return rows.join(summed, values).select(*statistics.columns, "score")
 
 
 def not_prose(scored: DataFrame, least_score: float, most_sentences: float = 0.5) -> DataFrame:

@@ -98,13 +98,17 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return reached_shares(cut_lineage(p7_mixed(spark, folder)), read_table(spark, folder, "mix_targets"))
 
 
+#: A language of fewer texts is too small for ranks of its own.
+LEAST_TEXTS = 100
+
+
 def _p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return document_statistics(spread(read_table(spark, folder, "documents")), read_table(spark, folder, "common_words"))
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Quality statistics and outlier score of every text."""
-    return outlier_scores(cut_lineage(_p8_statistics(spark, folder)))
+    return outlier_scores(cut_lineage(_p8_statistics(spark, folder)), "digest", LEAST_TEXTS).drop("digest")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,9 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tessera.llm.quality import TAILS, document_statistics, not_prose, outlier_scores, sentence_share
-from tessera.llm.registry import p8_found
+from tessera.llm.registry import p8_found, p8_scores
 
 PROSE = "Người nộp đơn phải bổ sung giấy xác nhận cư trú trước phiên hòa giải. Nếu hồ sơ còn thiếu, cơ quan tiếp nhận trả lại và nêu rõ lý do."
 JUNK = ["Xã Re Hiểu,\nXã Mữc Miềng,\nẤp Hiệt Sềo,", "| Cột 1 | Cột 2 |\n|---|---|\n| bản kê | 4977 |", "Lệ phí: 2155\nBút lục: x\nMã thửa: 58%", "=G9H+CG56CGfdD2b7G8facB+edHF7BFDD8EgB3dg56"]
@@ -54,3 +55,19 @@ def found_in(spark, folder, rows):
 def test_low_scores_hide_no_junk(spark, tmp_path):
     rows = [(i, PROSE, "vi") for i in range(10)] + [(10, JUNK[0], "en"), (11, None, "vi"), (12, "", "vi")]
     assert found_in(spark, tmp_path, rows) == {10}
+
+
+def test_copies_of_one_junk_text_hide_nothing(spark, tmp_path):
+    prose = [(i, PROSE.replace("hồ sơ", f"hồ sơ số {i}"), "vi") for i in range(110)]
+    rows = prose + [(200 + i, JUNK[1], None) for i in range(55)] + [(300, PROSE, "und")]
+    assert found_in(spark, tmp_path, rows) == set(range(200, 255))
+    scores = {r.doc_id: r.score for r in p8_scores(spark, str(tmp_path)).collect()}
+    assert min(scores[i] for i in range(200, 255)) > 15 > max(scores[i] for i in range(110))
+
+
+def test_repeated_keys_are_scored_by_row(spark):
+    documents, words = frames(spark)
+    rows = outlier_scores(document_statistics(documents.withColumn("doc_id", F.when(F.col("doc_id") > 21, F.lit(1))), words))
+    assert rows.count() == 27
+    expected = sorted(r.score for r in outlier_scores(document_statistics(documents, words)).collect())
+    assert np.allclose(sorted(r.score for r in rows.collect()), expected)
