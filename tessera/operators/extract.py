@@ -127,6 +127,15 @@ def extract_with_model(todo: DataFrame, model: Model, concurrency: int = 8, budg
     return asked.select("chunk_id", result.alias("result"), "error", "attempts")
 
 
+def flat_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) out of (chunk_id, result) as ``extract_with_model`` gives it: one row per item, numbered by its place in the
+    result, as ``resolved_relations`` and ``build_graph`` read them. Of repeated chunks each item counts once."""
+    key = lambda c: F.concat_ws("/", "chunk_id", F.lpad(F.col(c).cast("string"), 9, "0"))
+    entities = results.select("chunk_id", F.posexplode("result.entities").alias("at", "e")).select(key("at").alias("mention_id"), "chunk_id", "e.name", "e.type")
+    relations = results.select("chunk_id", F.posexplode("result.relations").alias("at", "r")).select(key("at").alias("relation_id"), "chunk_id", "r.source", "r.target", "r.type")
+    return entities.distinct(), relations.distinct()
+
+
 def resolved_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """(relation_id, chunk_id, source_id, target_id, type) of relations both of whose ends name an entity of their chunk (JON7, FLT9).
 

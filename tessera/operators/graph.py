@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.extract import applied_articles, law_links, rule_entities
+from tessera.functions.text import entity_id
+from tessera.operators.extract import applied_articles, law_links, resolved_relations, rule_entities
 
 
 def _json(**fields: Column) -> Column:
@@ -28,8 +29,27 @@ def first_writer_wins(candidates: DataFrame) -> DataFrame:
     return candidates.where("id IS NOT NULL").groupBy("id").agg(first.alias("_n")).select("id", "_n.label", "_n.properties")
 
 
-def build_graph(statute_chunks: DataFrame, judgment_chunks: DataFrame, statutes: DataFrame, judgments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of both corpora (SET1, SNK6): chunks, their articles or judgments, the entities that rules, metadata and links name.
+def model_results(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidate nodes, edges) of what a model found (UDF7, JON7, SET1): mentions (mention_id, chunk_id, name, type) and relations
+    (relation_id, chunk_id, source, target, type).
+
+    A mention with a name and a type gives its ENTITY and one MENTIONS edge; a relation both of whose ends are named in its chunk gives
+    one edge of its type. Results are applied once, so repeated rows count once.
+    """
+    named = entities.where("chunk_id IS NOT NULL AND name != '' AND type != ''").select("mention_id", "chunk_id", "name", "type").distinct()
+    identity = entity_id(F.col("type"), F.col("name"))
+    about = _json(name=F.col("name"), entity_type=F.col("type"), source=F.lit("llm"))
+    nodes = named.select(*_node(identity, "ENTITY", about, 3, F.concat_ws("/", "chunk_id", "mention_id")))
+    origin = _json(source=F.lit("llm"), from_chunk=F.col("chunk_id"))
+    related = resolved_relations(relations, named).select("source_id", "target_id", "type", origin.alias("properties"))
+    return nodes, named.select(*_edge(F.col("chunk_id"), identity, "MENTIONS")).unionByName(related)
+
+
+def build_graph(
+    statute_chunks: DataFrame, judgment_chunks: DataFrame, statutes: DataFrame, judgments: DataFrame, entities: DataFrame | None = None, relations: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of both corpora (SET1, SNK6): chunks, their articles or judgments, the entities that rules, metadata and links name,
+    and, with ``entities`` and ``relations``, what a model found.
 
     Nodes are one per id, the first writer's; edges are a bag, as they are found: a law linked twice has two edges, an article applied by
     a judgment one edge per chunk. Empty inputs give empty tables.
@@ -55,6 +75,9 @@ def build_graph(statute_chunks: DataFrame, judgment_chunks: DataFrame, statutes:
     about = _json(name=F.col("name"), entity_type=F.lit("VBPL"), source=F.lit("source_links"), url=F.col("url"))
     nodes.append(links.select(*_node(law, "ENTITY", about, 2, F.col("doc_id"))))
     edges.append(links.select(*_edge(F.col("doc_id"), law, "THUOC", F.lit('{"via":"source_links"}'))))
+    if entities is not None and relations is not None:
+        for found, kept in zip(model_results(entities, relations), (nodes, edges)):
+            kept.append(found)
     return first_writer_wins(reduce(DataFrame.unionByName, nodes)), reduce(DataFrame.unionByName, edges)
 
 

@@ -5,18 +5,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tessera.operators.chunking import judgment_chunks, statute_chunks
 from tessera.operators.enrich import filled, unified_judgments, unified_statutes, whole_number, with_ontology
 from tessera.operators.graph import build_graph
 from tessera.operators.report import missing_values, number_summary, positive_range, size_statistics, top_groups, value_counts
 from tessera.session import cut_lineage
-from tessera.sources.tables import load_tables, read_table, save_tables, write_table
+from tessera.sources.tables import load_tables, read_or_empty, read_table, save_tables, write_table
 
 STATUTE_TABLES = ("articles", "subjects", "tree_nodes", "ontology_topics", "ontology_subjects", "ontology_glossary")
 JUDGMENT_TABLES = ("documents", "sentences")
 SENTENCE_NUMBERS = ("year", "page", "index_in_paragraph", "global_index", "char_start", "char_end")
 
+_TEXT = T.StringType()
+MODEL_TABLES = {
+    "extracted_entity": T.StructType([T.StructField(c, _TEXT) for c in ("mention_id", "chunk_id", "name", "type")]),
+    "extracted_relation": T.StructType([T.StructField("relation_id", T.LongType()), *[T.StructField(c, _TEXT) for c in ("chunk_id", "source", "target", "type")]]),
+}
+
 
 @dataclass(frozen=True)
 class Job:
@@ -69,13 +76,15 @@ def report_judgments(unified: DataFrame) -> dict[str, DataFrame]:
 
 def chunk_and_link(spark: SparkSession, job: Job) -> tuple[DataFrame, DataFrame]:
     """Chunks of both corpora and the graph of them, saved; returns nodes and edges (SNK4-6). Chunks are written once and read back, for
-    both nodes and edges need them."""
+    both nodes and edges need them. What a model found is read from ``extracted_entity`` and ``extracted_relation`` (UDF7); where these
+    are missing, that stage does nothing (SRC7)."""
     statutes, judgments = read_table(spark, job.source, "phapdien_unified"), read_table(spark, job.source, "anle_unified")
     of_statutes = cut_lineage(statute_chunks(statutes))
     of_judgments = cut_lineage(judgment_chunks(judgments, read_table(spark, job.source, "sentences")))
     write_table(of_statutes, job.target, "statute_chunks", job.formats)
     write_table(of_judgments, job.target, "judgment_chunks", job.formats)
-    nodes, edges = build_graph(of_statutes, of_judgments, statutes, judgments)
+    entities, relations = (read_or_empty(spark, f"{job.source}/{name}.parquet", schema) for name, schema in MODEL_TABLES.items())
+    nodes, edges = build_graph(of_statutes, of_judgments, statutes, judgments, entities, relations)
     write_table(nodes, job.target, "nodes", job.formats)
     write_table(edges, job.target, "edges", job.formats)
     return nodes, edges

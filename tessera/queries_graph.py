@@ -85,7 +85,7 @@ def chunk_laws(spark, folder):
 
 def _built(spark, folder):
     statutes, judgments = read_table(spark, folder, "phapdien_unified").dropDuplicates(["doc_id"]), read_table(spark, folder, "anle_unified").dropDuplicates(["doc_id"])
-    return graph.build_graph(cut_lineage(statute_chunks(spread(statutes))), cut_lineage(judgment_chunks(judgments, sentences_of(judgments))), statutes, judgments)
+    return graph.build_graph(cut_lineage(statute_chunks(spread(statutes))), cut_lineage(judgment_chunks(judgments, sentences_of(judgments))), statutes, judgments, read_table(spark, folder, "extracted_entity"), read_table(spark, folder, "extracted_relation"))
 
 
 def built_nodes(spark, folder):

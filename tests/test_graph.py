@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
-from tessera.operators.extract import applied_articles, entities_in, extract_with_model, has_signal, law_links, resolved_relations, to_extract
+from tessera.operators.extract import applied_articles, entities_in, extract_with_model, flat_results, has_signal, law_links, resolved_relations, to_extract
 
 
 def test_rules(spark):
@@ -77,3 +77,20 @@ def test_walks(spark):
     assert [tuple(r) for r in graph.two_hops(edges, "B", "T").collect()] == [("c", "l")]
     nodes = spark.createDataFrame([("d", "A", "", 1), ("l", "E", "", 1)], NODES)
     assert [tuple(r) for r in graph.one_hop(nodes, edges, "A", "T").collect()] == [("d", "l", 2)]
+
+
+def test_model_results_reach_the_graph(spark):
+    results = [("c", json.dumps({"entities": [{"name": "Luật A", "type": "VBPL"}, {"name": "Tòa", "type": "CO_QUAN"}, {"name": " tòa", "type": "CO_QUAN"}, {"name": "", "type": "DIEU"}], "relations": [{"source": "LUẬT A", "target": "tòa ", "type": "SUA_DOI"}, {"source": "LUẬT A", "target": "tòa ", "type": "SUA_DOI"}, {"source": "Luật A", "target": "không có", "type": "THAY_THE"}]}))] * 2
+    asked = spark.createDataFrame([("c", "", r) for _, r in results], "chunk_id string, context string, content string")
+    entities, relations = flat_results(extract_with_model(asked, lambda context, content, budget: (content, True)))
+    assert entities.count() == 4 and relations.count() == 3
+    statute = spark.createDataFrame([("c", "d", 0, "Theo Luật 1/2", "Theo Luật 1/2", "khoan", "1", "T", "C", "A", "B")], "chunk_id string, doc_id string, chunk_index int, chunk_text string, embed_text string, chunk_type string, article_id string, article_title string, chapter_title string, topic_title_vi string, subject_title_vi string")
+    judgment = spark.createDataFrame([], "chunk_id string, doc_id string, chunk_index int, chunk_text string, embed_text string, chunk_type string, title string, case_type string, year int")
+    statutes = spark.createDataFrame([], "doc_id string, source_links_json string")
+    judgments = spark.createDataFrame([], "doc_id string, applied_article_number long")
+    nodes, edges = graph.build_graph(statute, judgment, statutes, judgments, entities, relations)
+    by_model = {r.id: json.loads(r.properties) for r in nodes.collect() if json.loads(r.properties).get("source") == "llm"}
+    assert {i: p["name"] for i, p in by_model.items()} == {"ENT::VBPL::luật a": "Luật A", "ENT::CO_QUAN::tòa": "Tòa"}
+    found = sorted((r.source_id, r.target_id, r.type, r.properties) for r in edges.where("type != 'BELONGS_TO'").collect())
+    origin = '{"source":"llm","from_chunk":"c"}'
+    assert found == [("ENT::VBPL::luật a", "ENT::CO_QUAN::tòa", "SUA_DOI", origin)] * 2 + [("c", "ENT::CO_QUAN::tòa", "MENTIONS", "{}")] * 2 + [("c", "ENT::VBPL::luật 1/2", "MENTIONS", "{}"), ("c", "ENT::VBPL::luật a", "MENTIONS", "{}")]
