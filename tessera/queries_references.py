@@ -23,7 +23,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     entities = read_table(spark, folder, "extracted_entity").select("chunk_id", F.lower(F.trim("name")).alias("name_key"), "extracted_at", "retracted_at")
     for field in ("source", "target"):
         keys = [("chunk_id", "chunk_id"), ("name_key", "name_key")]
-        orphans = orphan_references(relation_ends(spark, folder, field), entities, keys, "extracted_at", "extracted_at", "retracted_at")
+        orphans = orphan_references(relation_ends(spark, folder, field), entities, keys, "extracted_at", "extracted_at", "retracted_at", match="full")
+        # A name without a chunk can have no parent.
+        orphans = orphans.replace("incomplete", "missing", ["reason"])
         found = found.unionByName(_cases(orphans, "extracted_relation", "relation_id", field, "extracted_at"))
     return found.distinct()
 

@@ -1,6 +1,7 @@
 import pytest
 
 from tessera.operators.references import merged_validity, orphan_counts, orphan_references
+from tessera.queries_references import p5_counts, p5_found
 
 
 def times(spark, rows, schema):
@@ -48,3 +49,20 @@ def test_empty_tables(spark):
     assert {r.reason for r in orphan_references(refs, parents.limit(0), [("key", "key")], "t", "s", "e").collect()} == {"missing"}
     with pytest.raises(ValueError):
         orphan_references(refs, parents, [("key", "key")], "t", "s", "e", "none")
+
+
+def test_a_name_without_a_chunk_is_missing(spark, tmp_path):
+    stamps = ("extracted_at", "retracted_at", "loaded_at", "deleted_at")
+    tables = {
+        "edges": ("edge_id long, target_id string, loaded_at string", []),
+        "nodes": ("id string, loaded_at string, deleted_at string", []),
+        "extracted_entity": ("chunk_id string, name string, extracted_at string, retracted_at string", [("c", "A", "2030-01-01", None), (None, "A", "2030-01-01", None)]),
+        "extracted_relation": ("relation_id long, chunk_id string, source string, target string, extracted_at string", [(1, "c", "A", " a ", "2030-01-05"), (2, None, "A", "", "2030-01-05"), (3, None, None, "A", "2030-02-05")]),
+    }
+    for name, (schema, rows) in tables.items():
+        df = spark.createDataFrame(rows, schema)
+        df = df.withColumns({c: df[c].cast("timestamp_ntz") for c in stamps if c in df.columns})
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = sorted(tuple(r) for r in p5_found(spark, str(tmp_path)).collect())
+    assert found == [("extracted_relation", 2, "source", "2030-01", "missing"), ("extracted_relation", 3, "target", "2030-02", "missing")]
+    assert sum(r.n for r in p5_counts(spark, str(tmp_path)).collect()) == 2
