@@ -1,7 +1,7 @@
 """Variant spellings of names typed by people, linked by a trie join.
 
 Names are read into forms: what tells bearers apart exactly (numbers, branch, office, relation to someone) and a core of plain
-tokens. Forms are sharded by pairs of their tokens; each shard is a trie whose words lie within a bounded edit distance of each
+tokens. Forms are sharded by their tokens; each shard is a trie whose words lie within a bounded edit distance of each
 other; a Levenshtein automaton walks it, and the words of a form are its cyclic token orders and its abbreviations.
 """
 
@@ -11,7 +11,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import combinations, groupby, product
+from itertools import groupby, product
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -271,16 +271,21 @@ def words_of(kind: str, exact: str, tokens: list[str]) -> list[tuple[str, str]]:
 
 
 def shards_of(tokens: list[str]) -> list[str]:
-    """Where a form can meet its variants: each pair of its tokens, whatever their order; initials do not count. Names of two tokens
-    also meet in each of them, single tokens in their halves, so that an edit leaves at least one meeting place."""
+    """Where a form can meet its variants: each of its whole tokens, neighbouring tokens run together (spaces may be lost or moved), and
+    the initials of its shortest abbreviations, whose one whole token may be misspelt. Single tokens also meet in their halves. So an
+    edit, or two in a name of three or more tokens, leaves at least one meeting place."""
     whole = [t for t in tokens if len(t) > 1]
-    if len(whole) > 2:
-        return sorted({f"{min(p)} {max(p)}" for p in combinations(whole, 2)})
-    if len(whole) == 2:
-        return sorted({f"{min(whole)} {max(whole)}", *whole})
-    text = " ".join(tokens)
-    half = len(text) // 2
-    return sorted({f"<{text[:half]}", f"{text[half:]}>", text})
+    shards = {*whole, "".join(tokens)}
+    if len(tokens) > 1:
+        shards |= {a + b for a, b in zip(tokens, tokens[1:] + tokens[:1])}
+    if len(tokens) > 2:
+        for order in (tokens, tokens[-1:] + tokens[:-1]):
+            shards.add("<" + "".join(t[0] for t in order[:-1]))
+    if len(whole) < 2:
+        text = " ".join(tokens)
+        half = len(text) // 2
+        shards |= {f"<{text[:half]}", f"{text[half:]}>", text}
+    return sorted(shards)
 
 
 def _allowed(word: str) -> int:

@@ -1,6 +1,6 @@
 import random
 
-from tessera.llm.names import Trie, components, link_spellings, plain, read_name, spelling_pairs
+from tessera.llm.names import Trie, _allowed, components, link_spellings, plain, read_name, shards_of, spelling_pairs, words_of
 
 
 def distance(a, b):
@@ -67,3 +67,30 @@ def test_components(spark):
 def test_reading_a_decision():
     forms = [read_name(n, "VBPL") for n in ("Quyết định số 7/2030/QĐ-UBND của UBND xã Nơi Biẹm", "qđ 7/2030/qđ-ubnd xã nơi biẹm", "UBND x. Nơi Biẹm, Quyết định số 7/2030/QĐ-UBND")]
     assert len({(f[0], f[1], tuple(f[3])) for f in forms}) == 1
+
+
+def test_variants_within_the_bound_meet():
+    random.seed(1)
+    syllables = ["nguyen", "van", "an", "tran", "thi", "minh", "khoa", "phuong", "truong", "thanh", "le", "cui"]
+    forms = [("full", random.sample(syllables, random.choice((2, 3, 3, 4)))) for _ in range(60)]
+    for _, tokens in forms[:60]:
+        word = " ".join(tokens)
+        for _ in range(8):
+            changed = word
+            for _ in range(_allowed(word) if len(tokens) > 2 else 1):
+                i = random.randrange(1, len(changed) - 1)
+                changed = random.choice((changed[:i] + changed[i + 1 :], changed[:i] + "x" + changed[i:], changed[:i] + changed[i + 1] + changed[i] + changed[i + 2 :]))
+            forms.append(("full", changed.split()))
+        if len(tokens) > 2:
+            short = [t[0] for t in tokens[:-1]] + tokens[-1:]
+            forms += [("initial", short), ("initial", short[:-1] + [short[-1] + "x"]), ("initial", [short[0]] + tokens[1:-1] + [tokens[-1] + "x"])]
+    for kind, tokens in forms:
+        word, own = " ".join(tokens), set(shards_of(tokens))
+        for _, other in forms[:60]:
+            if abs(len(tokens) - len(other)) > 1 or own & set(shards_of(other)):
+                continue
+            assert all(distance(word, w) > _allowed(word) for sort, w in words_of("full", "CHU_THE", other) if sort == kind), (tokens, other)
+
+
+def test_short_and_joined_spellings_meet(spark):
+    assert len(same(spark, "CHU_THE", "Nguyễn Văn An", "N. V. An", "Nguyễn Vănan")) == 3
