@@ -36,6 +36,9 @@ LOOK_ALIKES = {
 # Hyphens drawn like the plain one.
 HYPHENS = "‐‑⁃﹣－−"
 
+# Default-ignorable characters beside those that the properties below find: bidi marks, embeddings and isolates, variation selectors.
+_IGNORABLE = {0x034F, 0x061C, *range(0x180B, 0x1810), *range(0x202A, 0x202F), *range(0x2066, 0x206A), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+
 _COMPATIBLE = ("<wide>", "<narrow>", "<noBreak>")
 
 
@@ -46,7 +49,7 @@ def _replacements() -> dict[int, str]:
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         kind = unicodedata.category(char)
-        if kind == "Cf" and unicodedata.bidirectional(char) in ("BN", "LRM", "L", "R") and char not in "\u0600\u06dd" or 0xFE00 <= code <= 0xFE0F or code == 0x034F:
+        if kind == "Cf" and unicodedata.bidirectional(char) in ("BN", "L", "R") or code in _IGNORABLE:
             table[code] = ""
         elif kind == "Zs":
             table[code] = " "

@@ -38,3 +38,8 @@ def test_columns_and_pairs(spark):
     assert formed[2] == "Tòa án" and formed[5] is None and formed[8] == "" and formed[9] == "x" * 100_000
     assert sorted(map(tuple, look_alike_pairs(df, "id", "text").collect())) == [("d1", "d2"), ("d2", "d3"), ("d5", "d6")]
     assert look_alike_pairs(df.limit(0), "id", "text").count() == 0
+
+
+def test_bidi_controls_and_variation_selectors_are_removed():
+    for code in (0x202A, 0x202E, 0x2066, 0x2069, 0xFE0F, 0xE0100, 0xE01EF, 0x061C, 0x180B):
+        assert canonical_text(f"Tòa{chr(code)} án") == "Tòa án"
