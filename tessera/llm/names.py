@@ -1,8 +1,8 @@
 """Variant spellings of names typed by people, linked by a trie join.
 
 Names are read into forms: what tells bearers apart exactly (numbers, branch, office, relation to someone) and a core of plain
-tokens. Forms are sharded by their tokens; each shard is a trie whose words lie within a bounded edit distance of each
-other; a Levenshtein automaton walks it, and the words of a form are its cyclic token orders and its abbreviations.
+tokens. Forms are sharded by the tokens that variants within a bounded edit distance must share in any order; each shard is a trie of
+the other tokens, walked by a Levenshtein automaton. Shards are complete for the bound: no two forms within it fail to meet.
 """
 
 from __future__ import annotations
@@ -11,14 +11,16 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache, lru_cache
-from itertools import groupby, product
+from itertools import combinations, groupby, product
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.canonical import canonical_text
+from tessera.operators.extract import ENTITY_TYPES
 from tessera.session import cut_lineage
 
 # Fixed values, all without accents: how Vietnamese names are put together.
@@ -35,7 +37,6 @@ LEVELS = {"tinh": "t", "thanh pho": "tp", "quan": "q", "huyen": "h", "xa": "x",
 RELATIONS = ("con trai", "con gai", "vo", "chong", "cac thua ke", "nguoi thua ke", "nguoi dai dien", "dai dien", "cong doan", "nguoi duoc uy quyen", "me", "bo", "cha")
 TITLES = ("ong", "ba", "anh", "chi", "co", "chu", "bac", "em", "chau", "bi cao", "bi don", "nguyen don", "bi hai", "luat su", "nguoi lam chung", "dong chi")
 RANKS = ("hai", "ba", "tu", "nam", "sau", "bay", "tam", "chin", "muoi", "ut", "ca")
-TYPES = ("VBPL", "DIEU", "CO_QUAN", "CHU_THE", "KHUNG_HINH_PHAT", "THOI_GIAN", "LINH_VUC")
 
 FORM = T.StructType(
     [
@@ -60,32 +61,41 @@ class Trie:
         node.setdefault(None, []).append(value)
 
     def near(self, word: str, distance: int) -> Iterator[tuple[int, object]]:
-        """(edits, value) of every word within ``distance``. The automaton's state is a row of edit counts; subtrees that no state can
-        leave within the distance are not entered."""
-        first = tuple(min(i, distance + 1) for i in range(len(word) + 1))
-        stack = [(self.root, first, None, "")]
+        """(edits, value) of every word within ``distance``. The automaton's state after d characters is the edit counts of the beginnings
+        of ``word`` that are d - distance to d + distance long; subtrees that no state can leave within the distance are not entered."""
+        size, over = len(word), distance + 1
+        first = tuple(i if 0 <= i <= size else over for i in range(-distance, over))
+        stack = [(self.root, 0, first, None, "")]
         while stack:
-            node, row, before, last = stack.pop()
-            for value in node.get(None, ()):
-                if row[-1] <= distance:
-                    yield row[-1], value
+            node, depth, row, before, last = stack.pop()
             for char, child in node.items():
-                if char is not None:
-                    following = _step(word, row, before, last, char, distance)
-                    if following is not None:
-                        stack.append((child, following, row, char))
-
-
-def _step(word: str, row: tuple, before: tuple | None, last: str, char: str, distance: int) -> tuple | None:
-    out = [min(row[0] + 1, distance + 1)]
-    alive = out[0] <= distance
-    for i, own in enumerate(word, 1):
-        cost = min(row[i] + 1, out[i - 1] + 1, row[i - 1] + (own != char))
-        if before is not None and i > 1 and own == last and word[i - 2] == char:
-            cost = min(cost, before[i - 2] + 1)
-        out.append(min(cost, distance + 1))
-        alive = alive or cost <= distance
-    return tuple(out) if alive else None
+                if char is None:
+                    at = size - depth + distance
+                    if 0 <= at <= 2 * distance and row[at] <= distance:
+                        for value in child:
+                            yield row[at], value
+                    continue
+                following = _step(word, depth + 1, row, before, last, char, distance)
+                if min(following) <= distance:
+                    stack.append((child, depth + 1, following, row, char))
+
+
+def _step(word: str, depth: int, row: tuple, before: tuple | None, last: str, char: str, distance: int) -> tuple:
+    over, width, out = distance + 1, 2 * distance + 1, []
+    for at in range(width):
+        size = depth - distance + at
+        if not 0 <= size <= len(word):
+            out.append(over)
+            continue
+        cost = row[at + 1] + 1 if at + 1 < width else over
+        if at:
+            cost = min(cost, out[-1] + 1)
+        if size:
+            cost = min(cost, row[at] + (word[size - 1] != char))
+        if size > 1 and before is not None and word[size - 1] == last and word[size - 2] == char:
+            cost = min(cost, before[at] + 1)
+        out.append(min(cost, over))
+    return tuple(out)
 
 
 _TELEX = re.compile(r"^([bcdghklmnpqrtvsx]{0,3}[aeiouy]+)(c|ch|m|n|ng|nh|p|t)?[sfrxj]$|^([bcdghklmnpqrtvsx]{0,3}[aeiouy]+)[sfrxj](c|ch|m|n|ng|nh|p|t)$")
@@ -149,14 +159,15 @@ def _starts(tokens: list[str], phrases) -> str | None:
 
 
 def _reordered(text: str) -> str:
-    """Other names in brackets are dropped; a head in brackets, after a dash or after a comma moves to the front."""
+    """Other names in brackets are dropped; a head in brackets, after a dash or after a comma moves to the front. All other orders are left
+    to the search."""
     inside = re.search(r"\(([^)]*)\)", text)
     if inside:
         rest = text.replace(inside[0], " ")
         tokens = [plain(t) for t in re.findall(r"[^\W\d_]+", inside[1])]
         return f"{inside[1]} {rest}" if tokens[:1] != ["tuc"] and _head(tokens) else rest
     parts = re.split(r"\s+[-–]\s+|\s*,\s*", text)
-    if len(parts) == 2 and parts[0] and parts[1]:
+    if len(parts) == 2 and _head([plain(t) for t in re.findall(r"[^\W\d_]+", parts[1])]):
         return f"{parts[1]} {parts[0]}"
     return text
 
@@ -255,42 +266,100 @@ def _person(exact: list[str], tokens: list[str], raw: list[str], dotted: list[st
     return "|".join(["CHU_THE", *exact]), "", "full", spread
 
 
-def words_of(kind: str, exact: str, tokens: list[str]) -> list[tuple[str, str]]:
-    """The trie words of a form: (sort, word). A full name stands in each cyclic order of its tokens, with middle names shortened to
-    initials, and with its last two tokens alone, as nicknames have them."""
-    if kind != "full":
-        return [(kind, " ".join(tokens))]
-    words = {("full", " ".join(tokens[i:] + tokens[:i])) for i in range(len(tokens))}
-    if exact.startswith("CHU_THE") and len(tokens) >= 3:
-        for order in (tokens, tokens[-1:] + tokens[:-1]):
-            for mask in product((False, True), repeat=len(order) - 1):
-                if any(mask):
-                    words.add(("initial", " ".join([t[0] if short else t for t, short in zip(order, [*mask, False])])))
-            words.add(("nick", " ".join(order[-2:])))
-    return sorted(words)
-
-
-def shards_of(tokens: list[str]) -> list[str]:
-    """Where a form can meet its variants: each of its whole tokens, neighbouring tokens run together (spaces may be lost or moved), and
-    the initials of its shortest abbreviations, whose one whole token may be misspelt. Single tokens also meet in their halves. So an
-    edit, or two in a name of three or more tokens, leaves at least one meeting place."""
-    whole = [t for t in tokens if len(t) > 1]
-    shards = {*whole, "".join(tokens)}
-    if len(tokens) > 1:
-        shards |= {a + b for a, b in zip(tokens, tokens[1:] + tokens[:1])}
-    if len(tokens) > 2:
-        for order in (tokens, tokens[-1:] + tokens[:-1]):
-            shards.add("<" + "".join(t[0] for t in order[:-1]))
-    if len(whole) < 2:
-        text = " ".join(tokens)
-        half = len(text) // 2
-        shards |= {f"<{text[:half]}", f"{text[half:]}>", text}
-    return sorted(shards)
+#: Up to this many tokens a name is looked for in every order of them; longer names in the order in which they are written.
+ORDERED = 8
+
+
+def allowed(tokens: list[str]) -> int:
+    """Edits between two spellings; of two names the smaller number counts. Edits do not cross the border of a token, but instead of
+    them one space may be lost, added or moved."""
+    size = len(" ".join(tokens))
+    return 0 if size < 5 else 1 if size < 16 or len(tokens) < 3 else 2
+
 
+def deletions(token: str, most: int) -> set[str]:
+    """The token without up to ``most`` of its letters. Two tokens within one edit share such a form with at most one letter less."""
+    found = {token}
+    for _ in range(most):
+        found |= {t[:i] + t[i + 1 :] for t in found for i in range(len(t))}
+    return found
 
-def _allowed(word: str) -> int:
-    """Edits between variants of a word."""
-    return 0 if len(word) < 5 else 1 if len(word) < 16 else 2
+
+def signatures(exact: str, kind: str, tokens: list[str]) -> Iterator[tuple[str, str, str]]:
+    """(shard, rest, role): where a name meets every other within the bound, and what of it stands in the trie there.
+
+    A shard is named by what must agree exactly: the exact part and all tokens but one, or two where two edits are allowed, in any
+    order. The rest are the others; it is empty where all tokens agree, perhaps after two neighbours are run together. So two names with
+    a number of edits always leave a shard in common. Initials are never edited. In shards with a role, full names
+    meet abbreviations or nicknames: these agree in the initials and, within one letter, a whole token, or in one of two tokens.
+    """
+    most, n, key = allowed(tokens), len(tokens), f"{exact}#{kind}"
+    name = lambda sort, parts: f"{key}#{sort}#{' '.join(parts)}"
+    yield name("all", sorted(tokens)), "", ""
+    if most and n <= ORDERED:
+        for i in range(n - 1):
+            yield name("all", sorted([*tokens[:i], tokens[i] + tokens[i + 1], *tokens[i + 2 :]])), "", ""
+        whole = [i for i in range(n) if kind != "initial" or len(tokens[i]) > 1]
+        if n == 1:
+            for form in deletions(tokens[0], 1):
+                yield name("one", [form]), tokens[0], ""
+        else:
+            for i in whole:
+                yield name("but", sorted(tokens[:i] + tokens[i + 1 :])), tokens[i], ""
+        for i, j in combinations(whole, 2) if most > 1 else ():
+            yield name("but", sorted(t for at, t in enumerate(tokens) if at not in (i, j))), f"{tokens[i]} {tokens[j]}", ""
+    elif most:
+        # Five parts, of which two edits leave three as they are.
+        parts = [tokens[n * i // 5 : n * (i + 1) // 5] for i in range(5)]
+        for kept in combinations(range(5), 3):
+            rest = " ".join(t for at, part in enumerate(parts) if at not in kept for t in part)
+            yield name(f"{n}/{kept}", [t for at in kept for t in parts[at]]), rest, ""
+    if exact.startswith("CHU_THE") and 3 <= n <= ORDERED or kind == "nick":
+        letters = "".join(sorted(t[0] for t in tokens))
+        if kind != "nick":
+            for token in {t for t in tokens if len(t) > 1}:
+                for form in deletions(token[1:], 1):
+                    yield f"{exact}#short#{letters}#{token[0]}{form}", token, kind
+        if kind != "initial":
+            for first, second in {tuple(tokens[-2:]), tuple(tokens[-3:-1])} if kind == "full" else {tuple(tokens)}:
+                yield f"{exact}#nick#{first}#", f"{first} {second}", kind
+                yield f"{exact}#nick#-#{second}", f"{first} {second}", kind
+
+
+def fit(short: list[str], full: list[str]) -> int | None:
+    """How badly an abbreviation fits a full name: 2 an edit, 1 for an unusual order of its tokens; None if it does not fit. Every token
+    stands for one of the full name: a letter for its first letter, a whole one for one with the same first letter, one edit in all."""
+    if len(short) != len(full):
+        return None
+    for order in (full, full[1:] + full[:1], full[-1:] + full[:-1]):
+        edits = [_token_edits(s, f) for s, f in zip(short, order)]
+        if None not in edits and sum(edits) <= 1:
+            return 2 * sum(edits)
+    best = _assigned(sorted(short, key=len, reverse=True), full, 1)
+    return None if best is None else 2 * best + 1
+
+
+def _assigned(short: list[str], full: list[str], most: int) -> int | None:
+    if not short:
+        return 0
+    best = None
+    for i, token in enumerate(full):
+        edits = _token_edits(short[0], token)
+        if edits is not None and edits <= most:
+            others = _assigned(short[1:], full[:i] + full[i + 1 :], most - edits)
+            if others is not None and (best is None or edits + others < best):
+                best = edits + others
+    return best
+
+
+def _token_edits(short: str, token: str) -> int | None:
+    if short[0] != token[0]:
+        return None
+    if len(short) == 1 or short == token:
+        return 0
+    trie = Trie()
+    trie.add(token, None)
+    return min((edits for edits, _ in trie.near(short, 1)), default=None)
 
 
 def with_form(names: DataFrame) -> DataFrame:
@@ -303,66 +372,158 @@ def with_form(names: DataFrame) -> DataFrame:
     return names.withColumn("form", form("name", "type"))
 
 
-def _meetings(forms: DataFrame, most: int) -> DataFrame:
-    """Every form in each of its shards. A shard of more than ``most`` forms is a row of tries; its forms stand in one of them each and
-    are looked up in all, so that no task holds more than that many words at once."""
-    placed = forms.select("*", F.explode_outer(_shards("tokens")).alias("_shard")).withColumn("_shard", F.concat_ws("#", "exact", "_shard"))
-    sizes = placed.groupBy("_shard").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    blocks = F.ceil(F.col("_n") / most).cast("int")
-    joined = placed.join(sizes, "_shard").withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return joined.withColumn("_held", F.pmod(F.xxhash64("form_id"), blocks.cast("long")) == F.col("_block")).drop("_n")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _shards(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: shards_of(list(t)))
+def in_shards(forms: DataFrame) -> DataFrame:
+    """(shard, rest, role, id, level, bound, word): every form (id, exact, level, kind, tokens) in each of its shards. Shards are named by
+    a digest of 128 bits; only abbreviations and the full names that meet them bear their word."""
+    fields = forms.schema
+    schema = T.StructType(
+        [
+            T.StructField("shard", T.BinaryType()),
+            T.StructField("rest", T.StringType()),
+            T.StructField("role", T.StringType()),
+            T.StructField("id", fields["id"].dataType),
+            T.StructField("level", T.StringType()),
+            T.StructField("bound", T.IntegerType()),
+            T.StructField("word", T.StringType()),
+        ]
+    )
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for own, exact, level, kind, tokens in batch.itertuples(index=False, name=None):
+                tokens = list(tokens)
+                bound, word = allowed(tokens), " ".join(tokens)
+                for shard, rest, role in signatures(exact, kind, tokens):
+                    rows.append((xxhash.xxh128_digest(shard), rest, role, own, level, bound, word if role else None))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return forms.select("id", "exact", "level", "kind", "tokens").mapInPandas(place, schema)
+
+
+def near_forms(forms: DataFrame, most: int = 300) -> DataFrame:
+    """Links (a, b, weak, cost) between forms (id, exact, level, kind, tokens) within the bound of ``allowed``; a weak link joins an
+    abbreviation or nickname, ``a``, to a full name.
+
+    Shards in which no two forms can meet are dropped by their counts. A shard of more than ``most`` forms is split by the tokens that
+    are not in its name: forms whose rests are within the bound share a form of them with letters left out, so the split shards hold
+    only forms that differ in a few letters, and nothing is copied to all. Where full names meet abbreviations, the full names are split
+    by hash, and only the abbreviations stand in every part.
+    """
+    rows = cut_lineage(in_shards(forms))
+    counts = cut_lineage(_counts(rows))
+    links = _search_tries(rows.join(counts.where(~_hot(most)).select("shard"), "shard"))
+    hot = counts.where(_hot(most)).select("shard", "n")
+    if not hot.isEmpty():
+        split = cut_lineage(_split(rows.join(hot, "shard"), most))
+        links = links.unionByName(_search_tries(split.join(_counts(split).select("shard"), "shard")))
+    return links.groupBy("a", "b", "weak").agg(F.min("cost").alias("cost"))
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """The shards in which forms can meet, with the number of their forms: two of equal tokens, two of different rests, or two roles."""
+    counts = rows.groupBy("shard").agg(
+        F.count("*").alias("n"), F.min("rest").alias("rest"), F.max("rest").alias("_rest"), F.min("role").alias("role"), F.max("role").alias("_role")
+    )
+    meeting = F.when(F.col("_role") != "", F.col("role") != F.col("_role")).otherwise((F.col("rest") != F.col("_rest")) | (F.col("rest") == ""))
+    return counts.where(meeting & (F.col("n") > 1)).select("shard", "n", "rest")
+
+
+def _hot(most: int):
+    return (F.col("n") > most) & (F.col("rest") != "")
+
+
+def _split(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of hot shards in the shards that these are split into."""
+
+    @F.pandas_udf("array<string>")
+    def forms(rests: pd.Series, bounds: pd.Series) -> pd.Series:
+        return pd.Series([sorted(rest_forms(r, k)) for r, k in zip(rests, bounds)])
+
+    parts = F.ceil(F.col("n") / most).cast("long")
+    salt = F.pmod(F.xxhash64("id"), parts).cast("string")
+    blocks = F.when(F.col("role") == "full", F.array(salt)).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda i: i.cast("string")))
+    strong = rows.where("role = ''").withColumn("_part", F.explode(forms("rest", "bound")))
+    weak = rows.where("role != ''").withColumn("_part", F.explode(blocks))
+    named = F.unhex(F.md5(F.concat(F.col("shard"), F.encode("_part", "utf-8"))))
+    return strong.unionByName(weak).withColumn("shard", named).drop("_part", "n")
+
+
+def rest_forms(rest: str, bound: int) -> set[str]:
+    """The rest with letters left out of its tokens, one letter of two tokens each or up to ``bound`` of one; a rest of more tokens as it is."""
+    tokens = rest.split(" ")
+    if len(tokens) == 1:
+        return deletions(rest, bound)
+    if len(tokens) > 2:
+        return {""}
+    return {" ".join(sorted(pair)) for pair in product(*[deletions(t, 1) for t in tokens])}
 
 
-def near_forms(forms: DataFrame, most: int = 2000) -> DataFrame:
-    """Links (a, b, weak) between forms (form_id, exact, level, kind, tokens) within the edit distance; a weak link joins an
-    abbreviation or nickname to a full name."""
-    met = _meetings(forms, most).repartition("_shard", "_block").sortWithinPartitions("_shard", "_block", F.desc("_held"))
-    columns = ["_shard", "_block", "_held", "form_id", "exact", "level", "kind", "tokens"]
-    return met.select(*columns).mapInPandas(_join_tries, "a string, b string, weak boolean").distinct()
+def _search_tries(rows: DataFrame) -> DataFrame:
+    id_type = rows.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("weak", T.BooleanType()), T.StructField("cost", T.IntegerType())])
+    columns = ["shard", "rest", "role", "id", "level", "bound", "word"]
+    return rows.select(*columns).repartition("shard").sortWithinPartitions("shard", "rest").mapInPandas(_join_tries, schema)
 
 
 def _join_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by shard and trie, the words before those that are only looked up: one trie is held at a time."""
+    """Rows come sorted by shard: one trie is held at a time."""
     rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
-    found: list[tuple[str, str, bool]] = []
-    for _, group in groupby(rows, key=lambda r: (r[0], r[1])):
-        tries: dict[str, Trie] = {}
-        held = []
-        for _, _, holds, form_id, exact, level, kind, tokens in group:
-            own = (form_id, level, kind, list(tokens))
-            if holds:
-                for sort, word in words_of(kind, exact, own[3]):
-                    tries.setdefault(sort, Trie()).add(word, own)
-                held.append(own)
-            else:
-                found += _links(tries, own)
-        for own in held:
-            found += _links(tries, own)
+    found: list[tuple] = []
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        group = list(group)
+        found += _meet_short(group) if group[0][2] else _equal(group) if not group[0][1] else _meet(group)
         if len(found) > 20_000:
-            yield pd.DataFrame(found, columns=["a", "b", "weak"])
+            yield pd.DataFrame(found, columns=["a", "b", "weak", "cost"])
             found = []
-    yield pd.DataFrame(found, columns=["a", "b", "weak"])
-
-
-def _links(tries: dict[str, Trie], own: tuple) -> list[tuple[str, str, bool]]:
-    form_id, level, kind, tokens = own
-    word = " ".join(tokens)
-    out = []
-    for _, (other, other_level, other_kind, other_tokens) in tries.get(kind, Trie()).near(word, _allowed(word)):
-        if other == form_id:
-            continue
-        weak = kind != other_kind
-        if not weak and level and other_level and level != other_level:
-            continue
-        if not weak and abs(len(other_tokens) - len(tokens)) > 1:
-            continue
-        out.append((form_id, other, weak))
-    return out
+    yield pd.DataFrame(found, columns=["a", "b", "weak", "cost"])
+
+
+def _equal(group: list[tuple]) -> Iterator[tuple]:
+    """All tokens agree: each form is linked to the first of its level, a level that is not written to every other."""
+    levels: dict[str, list] = {}
+    for row in group:
+        levels.setdefault(row[4], []).append(row[3])
+    for level, ids in levels.items():
+        first = min(ids)
+        yield from ((first, other, False, 0) for other in ids if other != first)
+        if level and "" in levels:
+            yield min(levels[""]), first, False, 0
+
+
+def _meet(group: list[tuple]) -> Iterator[tuple]:
+    """Forms whose rests lie within the bound, in any order of their tokens. Of forms with one rest, the first stands for all: the others
+    meet it where all tokens agree."""
+    firsts: dict[tuple[str, str], tuple] = {}
+    for _, rest, _, own, level, bound, _ in group:
+        tokens = rest.split(" ")
+        key = (" ".join(sorted(tokens)) if len(tokens) == 2 else rest, level)
+        if key not in firsts or own < firsts[key][0]:
+            firsts[key] = (own, bound, level)
+    trie = Trie()
+    for (rest, _), value in firsts.items():
+        trie.add(rest, value)
+    for (rest, level), (own, bound, _) in firsts.items():
+        tokens = rest.split(" ")
+        for word in {rest, " ".join(tokens[::-1])} if len(tokens) == 2 else {rest}:
+            for edits, (other, other_bound, other_level) in trie.near(word, bound):
+                if own < other and edits <= other_bound and (level == other_level or not level or not other_level):
+                    yield own, other, False, 0
+
+
+def _meet_short(group: list[tuple]) -> Iterator[tuple]:
+    """Abbreviations and nicknames with the full names that they fit."""
+    trie, firsts = Trie(), {}
+    for _, rest, role, own, _, _, word in group:
+        if role == "full" and not (word, rest) in firsts:
+            firsts[word, rest] = own
+            trie.add(rest, (own, word))
+    for _, rest, role, own, _, bound, word in group:
+        if role != "full":
+            for edits, (other, full) in trie.near(rest, 1 if role == "initial" else bound):
+                cost = fit(word.split(" "), full.split(" ")) if role == "initial" else 2 * edits
+                if cost is not None:
+                    yield own, other, True, cost
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -381,29 +542,26 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_spellings(mentions: DataFrame, key: str, name: str, kind: str, types: tuple[str, ...] = TYPES) -> DataFrame:
+def link_spellings(mentions: DataFrame, key: str, name: str, kind: str, types: tuple[str, ...] = ENTITY_TYPES) -> DataFrame:
     """One row per distinct (type, name) with a type of ``types`` and a non-null name: ``mention``, its smallest key, and ``bearer``, the
-    same for all spellings of one bearer.
+    smallest mention of all spellings of one bearer.
 
-    Spellings with the same form are one; forms are joined by ``near_forms``. An abbreviation or a nickname belongs to a bearer only if
-    the full names that it fits all belong to one bearer; else it stays alone. Rows with a null key, repeated rows and extra columns do
-    no harm; names without letters or digits, the empty name among them, are each a bearer of their own.
+    Spellings are joined by ``near_forms``. An abbreviation or a nickname belongs to a bearer only if the full names that it fits best all
+    belong to one bearer; else it stays alone. Rows with a null key, repeated rows and extra columns do no harm; names without letters or
+    digits, the empty name among them, are each a bearer of their own.
     """
     rows = mentions.select(F.col(key).alias("mention"), F.col(name).alias("name"), F.col(kind).alias("type"))
     names = rows.where(F.col("name").isNotNull() & F.col("type").isin(*types) & F.col("mention").isNotNull()).groupBy("type", "name").agg(F.min("mention").alias("mention"))
-    read = with_form(names).select("mention", "form.*")
-    bare = (F.size("tokens") == 0) & ~F.col("exact").rlike(r"\d")
-    form_id = F.concat_ws("#", "exact", "level", "kind", F.concat_ws(" ", "tokens"), F.when(bare, F.col("mention")))
-    read = cut_lineage(read.withColumn("form_id", form_id))
-    forms = read.where(F.size("tokens") > 0).dropDuplicates(["form_id"]).drop("mention")
-    links = cut_lineage(near_forms(forms))
-    strong = components(read.select(F.col("form_id").alias("id")).distinct(), links.where(~F.col("weak")))
+    read = cut_lineage(with_form(names).select(F.col("mention").alias("id"), "form.*"))
+    links = cut_lineage(near_forms(read.where((F.size("tokens") > 0) | F.col("exact").rlike(r"\d"))))
+    strong = components(read.select("id"), links.where(~F.col("weak")))
     weak = links.where("weak").join(strong.select(F.col("id").alias("a"), F.col("label").alias("_short")), "a")
     weak = weak.join(strong.select(F.col("id").alias("b"), F.col("label").alias("_full")), "b")
-    sole = weak.groupBy("_short").agg(F.min("_full").alias("_full"), F.max("_full").alias("_other")).where("_full = _other").select("_short", "_full")
-    bearer = F.coalesce("_full", "label")
-    named = strong.join(sole, strong["label"] == sole["_short"], "left").select("id", bearer.alias("bearer"))
-    return read.join(named, read["form_id"] == named["id"]).select("mention", "bearer")
+    fits = weak.groupBy("_short", "cost").agg(F.min("_full").alias("_full"), F.max("_full").alias("_other"))
+    best = fits.groupBy("_short").agg(F.min_by(F.struct("_full", "_other"), "cost").alias("_best"))
+    sole = best.where("_best._full = _best._other").select("_short", F.col("_best._full").alias("_full"))
+    named = strong.join(sole, strong["label"] == sole["_short"], "left").select(F.col("id").alias("mention"), F.coalesce("_full", "label").alias("_named"))
+    return named.select("mention", F.col("_named").alias("bearer"))
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
-from tessera.llm.names import Trie, _allowed, components, link_spellings, plain, read_name, shards_of, spelling_pairs, words_of
+from itertools import combinations, permutations
+
+from tessera.llm.names import Trie, allowed, components, fit, link_spellings, near_forms, plain, read_name, spelling_pairs
 
 
 def distance(a, b):
@@ -69,28 +71,82 @@ def test_reading_a_decision():
     assert len({(f[0], f[1], tuple(f[3])) for f in forms}) == 1
 
 
-def test_variants_within_the_bound_meet():
-    random.seed(1)
-    syllables = ["nguyen", "van", "an", "tran", "thi", "minh", "khoa", "phuong", "truong", "thanh", "le", "cui"]
-    forms = [("full", random.sample(syllables, random.choice((2, 3, 3, 4)))) for _ in range(60)]
-    for _, tokens in forms[:60]:
+def within(a, b):
+    """Whether two names lie within the bound: edits inside tokens, in any order of them, or one space lost, added or moved."""
+    bound = min(allowed(a), allowed(b))
+    if len(a) == len(b) and min(sum(distance(x, y) for x, y in zip(a, order)) for order in permutations(b)) <= bound:
+        return True
+    joined = lambda t: {tuple(sorted(t))} | {tuple(sorted([*t[:i], t[i] + t[i + 1], *t[i + 2 :]])) for i in range(len(t) - 1) if allowed(t)}
+    return bool(joined(a) & joined(b))
+
+
+def spelled(syllables, n):
+    names = [random.sample(syllables, random.choice((1, 2, 3, 3, 4))) for _ in range(n)]
+    for tokens in list(names):
         word = " ".join(tokens)
-        for _ in range(8):
+        for edits in (1, 1, 2):
             changed = word
-            for _ in range(_allowed(word) if len(tokens) > 2 else 1):
-                i = random.randrange(1, len(changed) - 1)
-                changed = random.choice((changed[:i] + changed[i + 1 :], changed[:i] + "x" + changed[i:], changed[:i] + changed[i + 1] + changed[i] + changed[i + 2 :]))
-            forms.append(("full", changed.split()))
-        if len(tokens) > 2:
-            short = [t[0] for t in tokens[:-1]] + tokens[-1:]
-            forms += [("initial", short), ("initial", short[:-1] + [short[-1] + "x"]), ("initial", [short[0]] + tokens[1:-1] + [tokens[-1] + "x"])]
-    for kind, tokens in forms:
-        word, own = " ".join(tokens), set(shards_of(tokens))
-        for _, other in forms[:60]:
-            if abs(len(tokens) - len(other)) > 1 or own & set(shards_of(other)):
-                continue
-            assert all(distance(word, w) > _allowed(word) for sort, w in words_of("full", "CHU_THE", other) if sort == kind), (tokens, other)
-
-
-def test_short_and_joined_spellings_meet(spark):
+            for _ in range(edits):
+                i = random.randrange(len(changed) - 1) if len(changed) > 1 else 0
+                changed = random.choice((changed[:i] + changed[i + 1 :], changed[:i] + "x" + changed[i:], changed[:i] + changed[i : i + 2][::-1] + changed[i + 2 :]))
+            names.append(changed.split())
+        names.append(tokens[::-1])
+    return sorted({tuple(t) for t in names if all(t)})
+
+
+def found_groups(spark, names, most):
+    df = spark.createDataFrame([(i, "X", "", "full", list(t)) for i, t in enumerate(names)], "id int, exact string, level string, kind string, tokens array<string>")
+    links = [(r.a, r.b) for r in near_forms(df, most).collect()]
+    labels = components(df.select("id"), spark.createDataFrame(links or [(0, 0)], "a int, b int"))
+    return set(links), {r.id: r.label for r in labels.collect()}
+
+
+def test_names_within_the_bound_are_linked_and_no_others(spark):
+    random.seed(1)
+    names = spelled(["nguyen", "van", "an", "tran", "thi", "minh", "khoa", "phuong", "truong", "thanh", "le", "cui"], 25)
+    links, labels = found_groups(spark, names, 300)
+    expected = {(i, j) for (i, a), (j, b) in combinations(enumerate(names), 2) if within(list(a), list(b))}
+    assert {tuple(sorted(p)) for p in links} <= expected
+    assert all(labels[i] == labels[j] for i, j in expected) and len(set(labels.values())) > 5
+
+
+def test_split_shards_lose_nothing(spark):
+    random.seed(2)
+    syllables = ["".join(random.choice("bcdghklmn") + random.choice("aeiou") for _ in range(3)) for _ in range(12)]
+    names = [n for n in spelled(syllables, 40) if len(n) > 1]
+    names = sorted({("nguyen", *n[:3]) for n in names})
+    whole, cut = found_groups(spark, names, 10_000), found_groups(spark, names, 4)
+    assert {tuple(sorted(p)) for p in whole[0]} == {tuple(sorted(p)) for p in cut[0]} and whole[1] == cut[1] and whole[0]
+
+
+def test_long_names_are_linked_in_their_order(spark):
+    long = "hoi dong bao ve quyen loi nguoi lam chung tai cac phien toa luu dong".split()
+    names = [tuple(long), tuple([*long[:3], "vex", *long[4:]]), tuple(["hoix", *long[1:-1], "donx"]), tuple(["abc", *long[1:]])]
+    _, labels = found_groups(spark, names, 300)
+    assert labels[0] == labels[1] == labels[2] != labels[3]
+
+
+def test_abbreviations_fit():
+    assert fit(["n", "v", "an"], ["nguyen", "van", "an"]) == 0 and fit(["an", "n", "v"], ["nguyen", "van", "an"]) == 0
+    assert fit(["n", "v", "anh"], ["nguyen", "van", "an"]) == 2 and fit(["v", "n", "an"], ["nguyen", "van", "an"]) == 1
+    assert fit(["t", "v", "an"], ["nguyen", "van", "an"]) is None and fit(["n", "an"], ["nguyen", "van", "an"]) is None
+
+
+def test_short_joined_and_reordered_spellings_meet(spark):
     assert len(same(spark, "CHU_THE", "Nguyễn Văn An", "N. V. An", "Nguyễn Vănan")) == 3
+    assert len(same(spark, "CHU_THE", "Nguyễn Thanh Trường", "Nguyễnn Thanhh Trường")) == 1
+    assert len(same(spark, "CHU_THE", "Trần Quang Khải", "Trần Khải Quang")) == 1
+
+
+def test_the_best_fit_decides(spark):
+    found = same(spark, "CHU_THE", "Nguyễn Văn An", "Nguyễn Văn Anh", "N. V. Anh")
+    assert ("m001", "m002") in found or len(found) == 3  # one edit apart, the two full names are spellings of each other
+    assert same(spark, "CHU_THE", "Nguyễn Bình Trung An", "Nguyễn Thanh Bảo An", "N. B. T. An") == [("m000", "m002")]
+
+
+def test_many_full_names_with_one_abbreviation(spark):
+    names = [(i, "CHU_THE|", "", "full", ["nguyen", "van", f"a{c}{d}"]) for i, (c, d) in enumerate((c, d) for c in "bcdghk" for d in "bcdghk")]
+    names += [(100, "CHU_THE|", "", "initial", ["n", "v", "abc"]), (101, "CHU_THE|", "", "nick", ["van", "akk"])]
+    df = spark.createDataFrame(names, "id int, exact string, level string, kind string, tokens array<string>")
+    weak = [{(r.a, r.b, r.cost) for r in near_forms(df, most).where("weak").collect()} for most in (4, 1000)]
+    assert weak[0] == weak[1] and {(100, 1, 0), (101, 35, 0)} <= weak[0]
