@@ -271,8 +271,8 @@ ORDERED = 8
 
 
 def allowed(tokens: list[str]) -> int:
-    """Edits between two spellings; of two names the smaller number counts. Edits do not cross the border of a token, but instead of
-    them one space may be lost, added or moved."""
+    """Edits between two spellings; of two names the smaller number counts. All pairs are found whose edits
+    lie inside tokens, in any order of these, or of which one lost, gained or moved a space."""
     size = len(" ".join(tokens))
     return 0 if size < 5 else 1 if size < 16 or len(tokens) < 3 else 2
 

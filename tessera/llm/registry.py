@@ -9,7 +9,7 @@ from tessera.llm.canonical import HYPHENS, LOOK_ALIKES, look_alike_pairs
 from tessera.llm.mixing import distinct_texts, reached_shares, select_mix
 from tessera.llm.names import link_spellings, spelling_pairs
 from tessera.llm.packing import fill_report, pack
-from tessera.llm.quality import document_statistics, few_sentences, outlier_scores
+from tessera.llm.quality import document_statistics, not_prose, outlier_scores
 from tessera.llm.splitting import oversized, with_pieces
 from tessera.llm.tokens import with_tokens
 from tessera.llm.vectors import most_similar, neighbour_pairs
@@ -102,18 +102,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 LEAST_TEXTS = 100
 
 
-def _p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return document_statistics(spread(read_table(spark, folder, "documents")), read_table(spark, folder, "common_words"))
-
-
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Quality statistics and outlier score of every text."""
-    return outlier_scores(cut_lineage(_p8_statistics(spark, folder)), "digest", LEAST_TEXTS).drop("digest")
+    statistics = document_statistics(spread(read_table(spark, folder, "documents")), read_table(spark, folder, "common_words"))
+    return outlier_scores(cut_lineage(statistics), "digest", LEAST_TEXTS).drop("digest", "ranked_among")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts that are not natural prose: every text is judged by its sentences, whatever its score."""
-    return few_sentences(_p8_statistics(spark, folder)).select("doc_id")
+    """Texts that are not natural prose: they stand out by the ranks of their statistics, and most of them is no sentence."""
+    documents = read_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return not_prose(spread(documents), read_table(spark, folder, "common_words")).select("doc_id")
 
 
 _WHITE = "\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
