@@ -9,7 +9,7 @@ the vectors of other shards that this bound lets in.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +24,23 @@ class Search:
 
     ``k`` neighbours; vectors are ``size`` long; about ``shard_rows`` vectors in a shard; at most about ``max_pivots`` sampled pivots,
     which every task holds in memory (64 numbers each: 16 MB). ``route_factor`` relaxes the choice of shards, ``tree_factor`` the
-    pruning within one. A vector whose neighbours were mostly cut off from its shard looks for them no farther than ``bound_factor``
-    times the shard's median distance to a k-th neighbour. With ``half`` vectors visit other shards in half precision, which leaves an
-    error under 0.001 in such a pair's similarity. 1, 1, infinity and False make the search exact. ``leaf_rows`` vectors end a branch. From ``hot_copies`` equal vectors on, only
-    k + 1 of them are searched; the others have these as neighbours.
+    pruning within one. Where ``route_factor`` is None both are fitted, so that of the true neighbours of ``fit_queries`` vectors, compared
+    with all others, the share ``target`` lies in shards that are let in;
+    more are found, for the search knows a wider bound at first. A vector whose neighbours were mostly cut off from its shard
+    looks for them no farther than ``bound_factor`` times the shard's median distance to a k-th neighbour. With ``half`` vectors visit
+    other shards as whole numbers of 16 bits, which leaves an error under 0.0001 in such a pair's similarity. 1, 1, infinity and False make
+    the search exact. ``leaf_rows`` vectors end a branch. From ``hot_copies`` equal vectors on, only k + 1 of them are searched; the
+    others have these as neighbours.
     """
 
     k: int = 5
     size: int = 64
     shard_rows: int = 400
     max_pivots: int = 65_536
-    route_factor: float = 23.0
-    tree_factor: float = 6.0
+    route_factor: float | None = None
+    tree_factor: float | None = None
+    target: float = 0.9
+    fit_queries: int = 256
     bound_factor: float = 1.6
     half: bool = True
     leaf_rows: int = 96
@@ -119,16 +124,21 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _unpack(column: pa.ChunkedArray, size: int) -> np.ndarray:
-    """Vectors of single or half precision, as their lengths tell, in single precision."""
+    """Vectors of single precision or of whole numbers of 16 bits, as their lengths tell, in single precision and of unit length."""
     packed = column.to_pylist()
     whole = np.fromiter((len(p) == 4 * size for p in packed), dtype=bool, count=len(packed))
     out = np.empty((len(packed), size), dtype=np.float32)
-    for rows, kind in ((whole, np.float32), (~whole, np.float16)):
+    for rows, kind in ((whole, np.float32), (~whole, np.int16)):
         out[rows] = np.frombuffer(b"".join(packed[i] for i in np.flatnonzero(rows)), dtype=kind).reshape(-1, size)
     out[~whole] /= np.linalg.norm(out[~whole], axis=1, keepdims=True)
     return out
 
 
+def _small(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as whole numbers of 16 bits; their length is lost."""
+    return np.rint(vectors * (32_767 / np.abs(vectors).max(axis=1, keepdims=True))).astype(np.int16)
+
+
 def _pack(vectors: np.ndarray) -> pa.Array:
     width = vectors.shape[1] * vectors.itemsize
     offsets = np.arange(0, (len(vectors) + 1) * width, width, dtype=np.int32)
@@ -139,12 +149,14 @@ def most_similar(df: DataFrame, id_column: str, vector_column: str, search: Sear
     """Rows (id, neighbour, similarity, rank): the ``search.k`` vectors of highest cosine for every usable vector, itself excluded.
 
     One vector counts per id, the smallest of different ones; rows with a null id or an unusable vector take no part. Equal
-    similarities are ordered by id. With fewer than k + 1 vectors all others come out; an empty table gives no rows. The measured
+    similarities are ordered by id; where more than k are equal, any k of them come out. With fewer than k + 1 vectors all others come out; an empty table gives no rows. The measured
     recall is in the README.
     """
     rows = df.select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<float>").alias("vector"))
     rows = rows.where(F.col("id").isNotNull() & usable("vector", search.size))
     pivots = _pivots(rows, search)
+    if search.route_factor is None:
+        search = _fitted(rows, pivots, search)
     vectors = rows.groupBy("id").agg(F.min("vector").alias("vector"))
     copies = rows.groupBy(F.xxhash64("vector").alias("_hash")).agg(F.count("*").alias("_n")).where(F.col("_n") >= search.hot_copies).select("_hash")
     if copies.isEmpty():
@@ -171,6 +183,59 @@ def _pivots(rows: DataFrame, search: Search) -> np.ndarray:
     return np.unique(unit(np.array(sample, dtype=np.float32).reshape(-1, search.size)), axis=0) if sample else np.zeros((0, search.size), np.float32)
 
 
+def _nearest_pivot(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The number of each point's nearest pivot, for a bounded number of points at a time."""
+    blocks = [np.argmax(points[i : i + 512] @ pivots.T, axis=1) for i in range(0, len(points), 512)]
+    return np.concatenate(blocks).astype(np.int32) if blocks else np.zeros(0, np.int32)
+
+
+def _fitted(rows: DataFrame, pivots: np.ndarray, search: Search) -> Search:
+    """The search with factors that let in the shards of ``target`` of the true neighbours of a bounded sample of vectors.
+
+    The sample is compared with all vectors: a task keeps a few rows per sampled vector, the driver gets k. A neighbour in a shard whose
+    pivot lies farther by a gap is let in up to the factor 2 * distance to the k-th neighbour / gap.
+    """
+    chosen = rows.select("id", "vector", F.xxhash64("id", F.lit("query")).alias("_at")).dropDuplicates(["id"]).orderBy("_at", "id").limit(search.fit_queries).collect()
+    if len(chosen) < 2 or len(pivots) < 2:
+        return replace(search, route_factor=1.0, tree_factor=1.0)
+    ids, queries = [r.id for r in chosen], unit(np.array([r.vector for r in chosen], dtype=np.float32))
+    shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
+    keep = 2 * search.k + 1
+    schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("cosine", T.DoubleType()), T.StructField("vector", T.BinaryType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_ids, own = shared.value
+        best = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            points = unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, search.size))
+            there = batch.column("id").to_pylist()
+            for at, cosine in enumerate(own @ points.T):
+                top = np.argpartition(-cosine, min(keep, len(cosine)) - 1)[:keep]
+                found = best.get(at, []) + [(-float(cosine[i]), there[i], points[i]) for i in top if there[i] != own_ids[at]]
+                best[at] = sorted(found, key=lambda x: x[:2])[:keep]
+        flat = [(at, i, -c, v) for at, hits in best.items() for c, i, v in hits]
+        if flat:
+            numbers, names, cosines, vectors = zip(*flat)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(names, batch.schema.field("id").type), pa.array(cosines), _pack(np.stack(vectors))], names=["query", "id", "cosine", "vector"])
+
+    near = rows.select("id", "vector").mapInArrow(compare, schema).dropDuplicates(["query", "id"])
+    place = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id")
+    near = near.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= search.k).collect()
+    if not near:
+        return replace(search, route_factor=1.0, tree_factor=1.0)
+    at = np.array([r["query"] for r in near])
+    reach = np.zeros(len(queries))
+    np.maximum.at(reach, at, chord(np.array([r.cosine for r in near])))
+    home = _nearest_pivot(np.frombuffer(b"".join(r.vector for r in near), dtype=np.float32).reshape(-1, search.size), pivots)
+    own_home = _nearest_pivot(queries, pivots)
+    gap = chord(np.einsum("ij,ij->i", queries[at], pivots[home])) - chord(np.einsum("ij,ij->i", queries, pivots[own_home]))[at]
+    allowed = np.where(home == own_home[at], np.inf, 2 * reach[at] / np.maximum(gap, 1e-9))
+    route = float(np.clip(np.sort(allowed)[int((1 - search.target) * len(allowed))], 1.0, 64.0))
+    return replace(search, route_factor=route, tree_factor=float(np.clip(route / 4, 1.0, 6.0)) if search.tree_factor is None else search.tree_factor)
+
+
 def _search(vectors: DataFrame, pivots: np.ndarray, search: Search) -> DataFrame:
     """Candidates (id, neighbour, similarity) from both searches of the shards."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)
@@ -183,7 +248,7 @@ def _search(vectors: DataFrame, pivots: np.ndarray, search: Search) -> DataFrame
         for batch in batches:
             if batch.num_rows:
                 points = unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, search.size))
-                shard = np.argmax(points @ shared.value.T, axis=1).astype(np.int32)
+                shard = _nearest_pivot(points, shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column("id"), _pack(points)], names=["shard", "id", "vector"])
 
     def route(table: pa.Table) -> pa.Table:
@@ -209,7 +274,7 @@ def _search(vectors: DataFrame, pivots: np.ndarray, search: Search) -> DataFrame
         row, shard = np.concatenate(rows), np.concatenate(shards).astype(np.int32)
         row, shard = row[shard != home], shard[shard != home]
         stay = np.arange(len(points))
-        parts = [(stay, np.full(len(points), home, np.int32), np.full(len(points), np.inf), points), (row, shard, bound[row], points[row].astype(np.float16) if search.half else points[row])]
+        parts = [(stay, np.full(len(points), home, np.int32), np.full(len(points), np.inf), points), (row, shard, bound[row], _small(points[row]) if search.half and len(row) else points[row])]
         return pa.concat_tables(
             pa.table({"shard": pa.array(s), "id": table.column("id").take(pa.array(r)), "vector": _pack(v), "bound": pa.array(b.astype(np.float32)), "home": pa.array(np.full(len(r), home, np.int32))})
             for r, s, b, v in parts

@@ -45,6 +45,39 @@ def test_relaxed_search_has_the_stated_recall(spark):
     assert sum(len(got[i] & truth[i]) for i in range(3000)) / 15_000 >= 0.9
 
 
+def recall(spark, points):
+    got = {}
+    for r in most_similar(frame(spark, points), "id", "vector").collect():
+        got.setdefault(int(r.id[1:]), set()).add(int(r.neighbour[1:]))
+    truth = brute(points, 5)
+    return sum(len(got.get(i, set()) & truth[i]) for i in range(len(points))) / (5 * len(points))
+
+
+def test_factors_are_fitted_to_other_geometries(spark):
+    rng = np.random.default_rng(3)
+    plane = (rng.normal(size=(2500, 6)) @ rng.normal(size=(6, 64)) + 0.05 * rng.normal(size=(2500, 64))).astype(np.float32)
+    assert recall(spark, plane) >= 0.95
+    assert recall(spark, rng.normal(size=(2000, 64)).astype(np.float32)) >= 0.95
+
+
+def test_similarities_are_near_the_true_ones(spark):
+    points = clustered(1200, 64, 4)
+    unit = points.astype(np.float64) / np.linalg.norm(points.astype(np.float64), axis=1)[:, None]
+    for r in most_similar(frame(spark, points), "id", "vector", Search(shard_rows=100)).collect():
+        assert abs(r.similarity - unit[int(r.id[1:])] @ unit[int(r.neighbour[1:])]) < 1e-4
+
+
+def test_many_copies_are_found_at_either_side_of_the_switch(spark):
+    for n in (7, 8, 9):
+        points = np.concatenate([np.tile([[1.0, 2.0, 3.0, 4.0]], (n, 1)), clustered(40, 4, 5)]).astype(np.float32)
+        of = {}
+        for r in most_similar(frame(spark, points), "id", "vector", Search(size=4, hot_copies=8, route_factor=1, tree_factor=1)).collect():
+            of.setdefault(int(r.id[1:]), {})[r["rank"]] = (int(r.neighbour[1:]), r.similarity)
+        for i in range(n):
+            found = [of[i][k + 1][0] for k in range(5)]
+            assert i not in found and found == sorted(set(found)) and max(found) < n and all(abs(of[i][k + 1][1] - 1) < 1e-6 for k in range(5))
+
+
 def test_unusable_few_and_equal_vectors(spark):
     nan, one = float("nan"), [1.0, 0.0]
     rows = [("a", one), ("a", one), ("b", [0.9, 0.1]), ("c", None), ("d", [0.0, 0.0]), ("e", [nan, 1.0]), ("f", [1.0]), (None, one), ("g", [1.0, None])]
