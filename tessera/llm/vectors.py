@@ -39,7 +39,7 @@ class Search:
     max_pivots: int = 65_536
     route_factor: float | None = None
     tree_factor: float | None = None
-    target: float = 0.9
+    target: float = 0.83
     fit_queries: int = 256
     bound_factor: float = 1.6
     half: bool = True
