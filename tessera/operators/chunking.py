@@ -125,21 +125,19 @@ def statute_chunks(articles: DataFrame) -> DataFrame:
     text = safe(F.col("content_text"))
     rows = articles.select(*[safe(F.col(c)).alias(c) for c in STATUTE_META], text.alias("_text")).where(~F.col("_text").isin("", "nan"))
     rows = rows.withColumn("_clauses", merge_short(clauses(F.col("_text"))))
-    # Only oversized clauses go to Python; an array of them per article keeps the article in one row.
-    oversized = F.filter("_clauses", lambda c: F.length(c) > MAX_CHARS)
-    cut = rows.withColumn("_cut", _split_all(F.when(F.exists("_clauses", lambda c: F.length(c) > MAX_CHARS), oversized)))
+    long = lambda c: F.length(c) > MAX_CHARS
+    # Only oversized clauses go to Python, each in its place, so that the article stays one row.
+    cut = rows.withColumn("_cut", _split_all(F.when(F.exists("_clauses", long), F.transform("_clauses", lambda c: F.when(long(c), c)))))
     kind = F.when(F.size("_clauses") > 1, "khoan").otherwise("full")
 
-    def pieces(clause: Column) -> Column:
+    def pieces(clause: Column, i: Column) -> Column:
         head = F.regexp_extract(clause, r"(?U)^(\d+\.\s+)", 1)
-        cleaned = F.filter(F.transform(F.coalesce(F.element_at(F.col("_by_clause"), clause), F.array(clause)), clean_lead), lambda p: F.length(p) >= LEAST_CHARS)
-        kept = F.when(F.size(cleaned) == 0, F.array(clause)).otherwise(cleaned)
-        marked = F.transform(kept, lambda p, i: F.when((i == 0) | (head == ""), p).otherwise(F.concat(F.lit("[..."), strip(head), F.lit("] "), p)))
+        cleaned = F.filter(F.transform(F.get(F.col("_cut"), i), clean_lead), lambda p: F.length(p) >= LEAST_CHARS)
+        kept = let(cleaned, lambda c: F.when(F.size(c) == 0, F.array(clause)).otherwise(c))
+        marked = F.transform(kept, lambda p, n: F.when((n == 0) | (head == ""), p).otherwise(F.concat(F.lit("[..."), strip(head), F.lit("] "), p)))
         split = F.transform(marked, lambda p: F.struct(p.alias("text"), F.lit("split").alias("kind")))
-        return F.when(F.length(clause) > MAX_CHARS, split).otherwise(F.array(F.struct(clause.alias("text"), kind.alias("kind"))))
+        return F.when(long(clause), split).otherwise(F.array(F.struct(clause.alias("text"), kind.alias("kind"))))
 
-    by_clause = F.map_from_arrays(F.array_distinct(oversized), F.transform(F.array_distinct(oversized), lambda c: F.element_at(F.col("_cut"), F.array_position(oversized, c).cast("int"))))
-    cut = cut.withColumn("_by_clause", F.when(F.col("_cut").isNotNull(), by_clause))
     cut = cut.withColumn("chunks", F.flatten(F.transform("_clauses", pieces)))
     prefix = context_prefix(F.col("topic_title_vi"), F.col("subject_title_vi"), F.col("chapter_title"), F.col("article_title"))
     identity = F.concat(F.col("doc_id"), F.lit("::"), F.col("article_id"))
@@ -149,7 +147,7 @@ def statute_chunks(articles: DataFrame) -> DataFrame:
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _split_all(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield batch.map(lambda clauses: [split_recursively(c) for c in clauses], na_action="ignore")
+        yield batch.map(lambda clauses: [None if c is None else split_recursively(c) for c in clauses], na_action="ignore")
 
 
 def paragraphs(sentences: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def _edge(source: Column, target: Column, kind: str, properties: Column | None =
 
 def first_writer_wins(candidates: DataFrame) -> DataFrame:
     """One node per id: of (id, label, properties, stage, ord) the first stage's first row (AGG13). Partial aggregation keeps a hot id small."""
-    first = F.min_by(F.struct("label", "properties"), F.struct("stage", "ord", "label", "properties"))
+    first = F.min(F.struct("stage", "ord", "label", "properties"))
     return candidates.where("id IS NOT NULL").groupBy("id").agg(first.alias("_n")).select("id", "_n.label", "_n.properties")
 
 
@@ -81,10 +81,27 @@ def build_graph(
     return first_writer_wins(reduce(DataFrame.unionByName, nodes)), reduce(DataFrame.unionByName, edges)
 
 
+def merged_properties(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per ``keys``: ``properties``, a JSON object of every property that a row of the group has, with the value that comes last in
+    ``order`` and then in the text of its row; and ``n_rows``. New properties are added, known ones replaced. Names are sorted; values
+    keep their JSON types. What is no object adds nothing; a group without any gives '{}'. A group holds as many entries as there are names.
+    """
+    names = ", ".join(f"`{k}`" for k in keys)
+    ranked = rows.withColumn("_ord", F.struct(*order, "properties"))
+    each = rows.sparkSession.sql(
+        f"SELECT {names}, _ord, p.key AS _name, to_json(p.value) AS _value FROM {{rows}}, LATERAL variant_explode(CASE WHEN properties LIKE '{{{{%' THEN try_parse_json(properties) END) AS p", rows=ranked
+    )
+    last = each.groupBy(*keys, "_name").agg(F.max_by("_value", "_ord").alias("_value"))
+    named = F.concat(F.regexp_extract(F.to_json(F.array("_name")), r"(?s)^\[(.*)\]$", 1), F.lit(":"), F.col("_value"))
+    objects = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_name"), named.alias("_pair")))).alias("_all"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform("_all", lambda x: x["_pair"]), ","), F.lit("}"))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    return counted.join(objects.select(*keys, text.alias("properties")), keys, "left").select(*keys, F.coalesce("properties", F.lit("{}")).alias("properties"), "n_rows")
+
+
 def merged_nodes(nodes: DataFrame, order: str) -> DataFrame:
-    """One row per (id, label): the properties that were loaded last (SNK8); equals by the properties' text. A null id is no node."""
-    rows = nodes.where("id IS NOT NULL")
-    return rows.groupBy("id", "label").agg(F.max_by("properties", F.struct(order, "properties")).alias("properties"))
+    """One row per (id, label) with its merged properties (SNK8). A null id or label is no node."""
+    return merged_properties(nodes.where("id IS NOT NULL AND label IS NOT NULL"), ["id", "label"], [order]).drop("n_rows")
 
 
 def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -94,9 +111,8 @@ def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def merged_edges(edges: DataFrame, nodes: DataFrame, order: list[str]) -> DataFrame:
-    """One row per (source_id, target_id, type) with both ends (SNK9): the properties that come last in ``order``."""
-    last = F.max_by(F.coalesce("properties", F.lit("")), F.struct(*order))
-    return with_both_ends(edges, nodes).groupBy("source_id", "target_id", "type").agg(last.alias("properties"), F.count("*").alias("n_rows"))
+    """One row per (source_id, target_id, type) with both ends, its merged properties and the number of its rows (SNK9)."""
+    return merged_properties(with_both_ends(edges, nodes).where("type IS NOT NULL"), ["source_id", "target_id", "type"], order)
 
 
 def repeated_ids(nodes: DataFrame) -> DataFrame:
@@ -105,8 +121,8 @@ def repeated_ids(nodes: DataFrame) -> DataFrame:
 
 
 def counts_by(df: DataFrame, column: str) -> DataFrame:
-    """Rows per value (AGG9, AGG15, SRT5)."""
-    return df.groupBy(column).agg(F.count("*").alias("n"))
+    """Rows per value, the most frequent first, equals by value (AGG9, AGG15, SRT5)."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
 
 
 def one_hop(nodes: DataFrame, edges: DataFrame, label: str, kind: str) -> DataFrame:
@@ -123,3 +139,31 @@ def two_hops(edges: DataFrame, first: str, second: str) -> DataFrame:
     a = edges.where((F.col("type") == first) & (F.col("target_id") != "")).select(F.col("source_id").alias("start_id"), F.col("target_id").alias("middle")).distinct()
     b = edges.where((F.col("type") == second) & (F.col("target_id") != "")).select(F.col("source_id").alias("middle"), F.col("target_id").alias("end_id")).distinct()
     return a.join(b, "middle").select("start_id", "end_id").distinct()
+
+
+def hierarchy_edges(statutes: DataFrame) -> DataFrame:
+    """Edges (source_id, target_id, type) from topics to subjects (HAS_SUBJECT) and from subjects to articles (HAS_ARTICLE), each once
+    (RET5). Missing or empty ids make no edge."""
+    ids = statutes.select("topic_id", "subject_id", "doc_id")
+    topic, subject = F.concat(F.lit("TOPIC::"), "topic_id"), F.concat(F.lit("SUBJECT::"), "subject_id")
+    upper = ids.where("topic_id != '' AND subject_id != ''").select(topic.alias("source_id"), subject.alias("target_id"), F.lit("HAS_SUBJECT").alias("type"))
+    lower = ids.where("subject_id != '' AND doc_id != ''").select(subject.alias("source_id"), F.col("doc_id").alias("target_id"), F.lit("HAS_ARTICLE").alias("type"))
+    return upper.unionByName(lower).distinct()
+
+
+def tree_edges(tree: DataFrame, child: str = "id", parent: str = "parent_id") -> DataFrame:
+    """HAS_CHILD edges of a table of tree nodes, each once (RET5); roots have a missing or empty parent."""
+    rows = tree.where((F.col(child) != "") & (F.col(parent) != ""))
+    return rows.select(F.col(parent).alias("source_id"), F.col(child).alias("target_id"), F.lit("HAS_CHILD").alias("type")).distinct()
+
+
+def glossary_edges(chunks: DataFrame, terms: list[str], most: int = 10_000) -> DataFrame:
+    """USES edges from chunks to the terms of a glossary that their text contains, whatever the letter case, each once (RET5). The glossary
+    is a short list of at most ``most`` terms, which every task gets; no shuffle but for the repeats."""
+    wanted = sorted({t for t in terms if t})
+    if len(wanted) > most:
+        raise ValueError(f"{len(wanted)} terms, at most {most}")
+    listed = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(t.lower()).alias("plain")) for t in wanted]) if wanted else F.array().cast("array<struct<term:string,plain:string>>")
+    text = F.lower("chunk_text")
+    found = chunks.where("chunk_id IS NOT NULL").select("chunk_id", F.explode(F.filter(listed, lambda t: F.contains(text, t["plain"]))).alias("t"))
+    return found.select(F.col("chunk_id").alias("source_id"), F.concat(F.lit("GLOSSARY::"), "t.term").alias("target_id"), F.lit("USES").alias("type")).distinct()

@@ -50,7 +50,16 @@ def size_statistics(df: DataFrame, value: str, group: str) -> DataFrame:
     )
 
 
-def per_parent(chunks: DataFrame, parent: str, child: str) -> DataFrame:
-    """Parents, children, and the mean number of distinct children of a parent (AGG18)."""
-    each = chunks.groupBy(parent).agg(F.countDistinct(child).alias("n"))
-    return each.agg(F.count("*").alias("parents"), F.sum("n").alias("children"), F.avg("n").alias("mean"))
+def per_parent(chunks: DataFrame, parent: str, child: str, words: str) -> DataFrame:
+    """Parents, distinct children, the mean number of children of a parent, and the mean and interpolated median of the children's words
+    (AGG18). Of repeated children one counts; equal word counts are counted before the median."""
+    one = chunks.groupBy(parent, child).agg(F.max(words).alias("words"))
+    each = one.groupBy(parent).agg(F.count(child).alias("n")).agg(F.count("*").alias("parents"), F.sum("n").alias("children"), F.avg("n").alias("mean"))
+    counts = one.where(F.col(child).isNotNull()).groupBy("words").agg(F.count("*").alias("c"))
+    numbers = counts.agg((F.sum(F.col("words") * F.col("c")) / F.sum(F.when(F.col("words").isNotNull(), F.col("c")))).alias("mean_words"), F.percentile("words", 0.5, F.col("c")).alias("median_words"))
+    return each.join(numbers)
+
+
+def failed_share(rows: DataFrame, error: str) -> DataFrame:
+    """(n, n_failed): all rows and those with an error (AGG17)."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col(error).isNotNull()).alias("n_failed"))

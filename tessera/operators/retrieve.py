@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -12,8 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors held in memory by a task at a time.
-QUERY_BLOCK = 1024
+from tessera.functions.text import let
+
+#: Query vectors held in memory by a task at a time, and at most in one search: a question set, not a whole collection.
+QUERY_BLOCK, MOST_QUERIES = 1024, 65_536
 
 
 def top_similar(queries: DataFrame, vectors: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -25,6 +26,8 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int, id_column: str =
     """
     id_type = vectors.schema[id_column].dataType.simpleString()
     sound = lambda df: df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()) & F.exists(vector, lambda x: x != 0))
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: compare them by an index")
     numbered = sound(queries).select(F.col(id_column).alias("query_id"), vector)
     blocks = numbered.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) - 1) / (QUERY_BLOCK // 64)))
     out = None
@@ -109,24 +112,42 @@ def fused(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
 
 
 def hashed_embeddings(passages: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """(key, embedding): unit vectors of hashed words, a stand-in with the shape of a model's (UDF5): it is loaded once per task and
-    works on Arrow batches. Null texts have a null vector, texts without words zeros."""
+    """(key, embedding): unit vectors of signed feature hashing, a baseline that needs no model (UDF5; ``model_embeddings`` takes one).
+
+    Every word adds one to, or takes one from, the place that its digest names. Null texts have a null vector, texts without words zeros.
+    All is computed in the JVM.
+    """
+    words = F.filter(F.split(F.lower(F.col(text)), r"[\s\x0B]+"), lambda w: w != "")
+    codes = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 3), 16, 10).cast("int"))
+
+    def sums(codes: F.Column) -> F.Column:
+        signed = lambda i: F.aggregate(codes, F.lit(0), lambda total, c: total + F.when(F.pmod(c, F.lit(size)) == i, F.when(c >= 2048, 1).otherwise(-1)).otherwise(0))
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), signed)
+
+    def unit(sums: F.Column) -> F.Column:
+        norm = F.sqrt(F.aggregate(sums, F.lit(0), lambda total, x: total + x * x))
+        return let(norm, lambda n: F.transform(sums, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
+
+    vector = let(codes, lambda c: let(sums(c), unit))  # each computed once, however often it is named
+    return passages.select(F.col(key).alias("key"), F.when(F.col(text).isNotNull(), vector).alias("embedding"))
+
+
+def model_embeddings(passages: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:
+    """(key, embedding) by a model (UDF5): ``load`` runs once per task and gives a function from texts to rows of numbers, which gets Arrow
+    batches. Vectors are made of unit length; null texts have a null vector."""
 
     @F.pandas_udf("array<float>")
-    def embed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            out = []
-            for words in batch.map(lambda t: t.lower().split(), na_action="ignore"):
-                if not isinstance(words, list):
-                    out.append(None)
-                    continue
-                vector = np.zeros(size)
-                for word in words:
-                    h = zlib.crc32(word.encode())
-                    vector[h % size] += 1 if h & 0x80000000 else -1
-                norm = np.linalg.norm(vector)
-                out.append((vector / norm if norm else vector).astype(np.float32))
-            yield pd.Series(out)
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            known = batch.dropna()
+            if len(known):
+                rows = np.asarray(model(known.tolist()), dtype=np.float64)
+                norms = np.linalg.norm(rows, axis=1, keepdims=True)
+                for i, row in zip(known.index, rows / np.where(norms > 0, norms, 1)):
+                    out[i] = row.astype(np.float32)
+            yield out
 
     return passages.select(F.col(key).alias("key"), embed(F.col(text)).alias("embedding"))
 

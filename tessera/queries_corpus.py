@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import context_of, context_prefix, query_text, section_prefix
+from tessera.chunk_sql import BLANK, JUDGMENT_CHUNKS, ONE_JUDGMENT, STATUTE_CHUNKS, STATUTE_CLAUSES, judgment_ctes, statute_ctes
 from tessera.operators import report
 from tessera.operators.chunking import clauses, judgment_chunks, merge_short, sentences_of, statute_chunks
-from tessera.operators.enrich import filled, unified_judgments, unified_statutes, whole_number, with_ontology
+from tessera.operators.enrich import STATUTE_NUMBERS, STATUTE_STRINGS, filled, unified_judgments, unified_statutes, whole_number, with_ontology
 from tessera.session import spread
 from tessera.sources.tables import latest_per_key, read_table
 
@@ -64,7 +65,7 @@ def chunk_sizes(spark, folder):
 
 
 def chunks_per_document(spark, folder):
-    return report.per_parent(read_table(spark, folder, "chunk"), "doc_id", "chunk_id")
+    return report.per_parent(read_table(spark, folder, "chunk"), "doc_id", "chunk_id", "chunk_word_count")
 
 
 def enriched_statutes(spark, folder):
@@ -76,13 +77,14 @@ def enriched_statutes(spark, folder):
 
 
 def unify_statutes(spark, folder):
-    columns = ["doc_id", "article_id", "topic_title_vi", "topic_title_en", "subject_title_vi", "hierarchy_path", "topic_number", "content_char_len"]
-    return unified_statutes(enriched_statutes(spark, folder)).select(*columns)
+    return unified_statutes(enriched_statutes(spark, folder))
 
 
 def unify_judgments(spark, folder):
+    """Judgments under their raw names, with the text hash and the parser in columns of their own."""
     raw = judgments(spark, folder).withColumnsRenamed({"doc_id": "doc_name", "content_markdown": "markdown", "content_char_len": "char_len"})
-    return unified_judgments(raw).select("doc_id", "title", "case_type", "year", "confidence", "content_char_len", F.length("content_markdown").cast("long").alias("n_chars"))
+    apart = {name: F.get_json_object("metadata_json", f"$.{name}") for name in ("text_hash", "parser_model")}
+    return unified_judgments(raw.withColumns(apart).drop("metadata_json"))
 
 
 def document_lengths(spark, folder):
@@ -103,7 +105,7 @@ def judgment_prefixes(spark, folder):
 
 def chunk_contexts(spark, folder):
     chunks = read_table(spark, folder, "chunk")
-    return chunks.select("chunk_id", context_of(F.col("embed_text"), F.col("chunk_text")).alias("context"), F.length(query_text(F.col("chunk_text"))).cast("long").alias("query_length")).distinct()
+    return chunks.select("chunk_id", context_of(F.col("embed_text"), F.col("chunk_text")).alias("context"), query_text(F.col("chunk_text")).alias("query")).distinct()
 
 
 def latest_scrape(spark, folder):
@@ -127,8 +129,13 @@ def statute_chunk_rows(spark, folder):
 
 
 def judgment_chunk_rows(spark, folder):
-    rows = spread(judgments(spark, folder))
-    return judgment_chunks(rows.dropDuplicates(["doc_id"]), sentences_of(rows))
+    rows = spread(judgments(spark, folder)).where("doc_id IS NOT NULL").distinct()
+    return judgment_chunks(rows, sentences_of(rows))
+
+
+def judgment_sentences(spark, folder):
+    """The sentences of every judgment, as they are taken out of its text."""
+    return sentences_of(spread(judgments(spark, folder))).drop("paragraph_kind")
 
 
 def built_chunk_sizes(spark, folder):
@@ -146,6 +153,7 @@ def hierarchy_counts(spark, folder):
 QUERIES = {
     "statute_chunks": statute_chunk_rows,
     "judgment_chunks": judgment_chunk_rows,
+    "judgment_sentences": judgment_sentences,
     "built_chunk_sizes": built_chunk_sizes,
     "statute_clauses": statute_clauses,
     "statute_clause_counts": statute_clause_counts,
@@ -191,22 +199,27 @@ def _summary_sql(table: str, value: str) -> str:
 
 _PARTS = "list_filter([" + ", ".join(_strip(c) for c in ("topic_title_vi", "subject_title_vi", "chapter_title", "article_title")) + "], lambda x: x <> '')"
 _ORD = "concat_ws('/', scraped_at, doc_id)"
+_META = "to_json({" + ", ".join(f"'{c}': {c}" for c in ("article_id", "topic_id", "topic_number", "subject_id", "subject_number", "source_url")) + "})::VARCHAR"
 _UNIFIED_SQL = f"""WITH t AS (
-    SELECT topic_id, arg_max({{'vi': topic_title_vi, 'en': topic_title_en}}, {_ORD}) AS x FROM phapdien_unified WHERE topic_id <> '' GROUP BY 1
-  ), s AS (SELECT subject_id, arg_max({{'vi': subject_title_vi}}, {_ORD}) AS x FROM phapdien_unified WHERE subject_id <> '' GROUP BY 1),
+    SELECT topic_id AS t_id, arg_max({{'vi': topic_title_vi, 'en': topic_title_en, 'note': topic_note}}, {_ORD}) AS t FROM phapdien_unified WHERE topic_id <> '' GROUP BY 1
+  ), s AS (SELECT subject_id AS s_id, arg_max({{'vi': subject_title_vi, 'en': subject_title_en}}, {_ORD}) AS s FROM phapdien_unified WHERE subject_id <> '' GROUP BY 1),
   u AS (
-    SELECT coalesce(doc_id, '') AS doc_id, coalesce(article_id, '') AS article_id, coalesce(nullif(t.x.vi, ''), nullif(topic_title_vi, ''), '') AS topic_title_vi,
-      coalesce(t.x.en, '') AS topic_title_en, coalesce(nullif(s.x.vi, ''), nullif(subject_title_vi, ''), '') AS subject_title_vi, chapter_title, article_title,
-      coalesce(topic_number, 0) AS topic_number, coalesce(content_char_len, 0) AS content_char_len
-    FROM phapdien_unified p LEFT JOIN t ON p.topic_id = t.topic_id LEFT JOIN s ON p.subject_id = s.subject_id
+    SELECT p.* EXCLUDE (topic_title_vi, topic_title_en, topic_note, subject_title_vi, subject_title_en, hierarchy_path, metadata_json),
+      coalesce(nullif(t.vi, ''), nullif(topic_title_vi, ''), '') AS topic_title_vi, coalesce(t.en, '') AS topic_title_en, coalesce(t.note, '') AS topic_note,
+      coalesce(nullif(s.vi, ''), nullif(subject_title_vi, ''), '') AS subject_title_vi, coalesce(s.en, '') AS subject_title_en, {_META} AS metadata_json
+    FROM phapdien_unified p LEFT JOIN t ON topic_id = t_id LEFT JOIN s ON subject_id = s_id
   )
-  SELECT doc_id, article_id, topic_title_vi, topic_title_en, subject_title_vi, {"array_to_string(" + _PARTS + ", ' > ')"} AS hierarchy_path, topic_number, content_char_len FROM u"""
-
-_BLANK = "[\\s\\x{B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+  SELECT {", ".join(f"coalesce({c}, '') AS {c}" for c in STATUTE_STRINGS if c != "hierarchy_path")}, {", ".join(f"coalesce({c}, 0) AS {c}" for c in STATUTE_NUMBERS)},
+    {"array_to_string(" + _PARTS + ", ' > ')"} AS hierarchy_path FROM u"""
+_JUDGMENT_STRINGS = (
+    "doc_id doc_code precedent_number title subject case_type doc_type doc_subtype issue_date adopted_date issuing_authority court_level jurisdiction applied_article_code "
+    "principle_text content_markdown detail_url pdf_url source structure_json extracted_json parsed_at"
+).split()
+_JUDGMENT_NUMBERS = "year applied_article_number applied_article_clause content_char_len num_pages num_sections num_paragraphs num_sentences confidence".split()
 
 SQL = {
     "statute_clause_counts": f"""SELECT doc_id, CASE WHEN coalesce(content_text, '') = '' THEN 0
-        ELSE greatest(1, CAST(len(regexp_extract_all(content_text, '(?m)^[1-9]\\p{{Nd}}?\\.{_BLANK}+[^\\n]{{15}}')) AS INTEGER)) END AS n_clauses FROM phapdien_unified""",
+        ELSE greatest(1, CAST(len(regexp_extract_all(content_text, '(?m)^[1-9]\\p{{Nd}}?\\.{BLANK}+[^\\n]{{15}}')) AS INTEGER)) END AS n_clauses FROM phapdien_unified""",
     "topic_report": "SELECT topic_id, count(*) AS n, avg(content_word_count) AS mean_words FROM phapdien_unified GROUP BY 1 ORDER BY n DESC, topic_id NULLS FIRST LIMIT 10",
     "subject_count": "SELECT count(DISTINCT subject_id) AS n_subjects FROM phapdien_unified",
     "statute_word_summary": _summary_sql("phapdien_unified", "content_word_count"),
@@ -220,10 +233,20 @@ SQL = {
     "chunk_types": "SELECT chunk_type, count(*) AS n FROM chunk GROUP BY 1",
     "chunk_sizes": """SELECT chunk_type, count(*) AS n, avg(chunk_char_len) AS mean, min(chunk_char_len) AS least, max(chunk_char_len) AS most,
         list_sort(list(chunk_char_len))[count(*) // 2 + 1] AS upper_median FROM chunk WHERE chunk_char_len IS NOT NULL GROUP BY 1""",
-    "chunks_per_document": "SELECT count(*) AS parents, CAST(sum(n) AS BIGINT) AS children, avg(n) AS mean FROM (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM chunk GROUP BY 1)",
+    "chunks_per_document": """SELECT count(*) AS parents, CAST(sum(n) AS BIGINT) AS children, avg(n) AS mean, any_value(w.mean_words) AS mean_words, any_value(w.median_words) AS median_words
+        FROM (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM chunk GROUP BY 1), (SELECT avg(w) AS mean_words, median(w) AS median_words FROM (SELECT max(chunk_word_count) AS w FROM chunk GROUP BY chunk_id)) w""",
+    "statute_chunks": STATUTE_CHUNKS,
+    "statute_clauses": STATUTE_CLAUSES,
+    "judgment_chunks": JUDGMENT_CHUNKS,
+    "judgment_sentences": f"WITH RECURSIVE {judgment_ctes('anle_unified')} SELECT * FROM jd_sentences",
+    "built_chunk_sizes": f"""WITH RECURSIVE {statute_ctes('phapdien_unified')}, {ONE_JUDGMENT}, {judgment_ctes('one_judgment')},
+        both_chunks AS (SELECT chunk_type, chunk_char_len FROM made_statutes UNION ALL SELECT chunk_type, chunk_char_len FROM made_judgments)
+        SELECT chunk_type, count(*) AS n, avg(chunk_char_len) AS mean, min(chunk_char_len) AS least, max(chunk_char_len) AS most,
+        list_sort(list(chunk_char_len))[count(*) // 2 + 1] AS upper_median FROM both_chunks GROUP BY 1""",
     "unify_statutes": _UNIFIED_SQL,
-    "unify_judgments": """SELECT coalesce(doc_id, '') AS doc_id, coalesce(title, '') AS title, coalesce(case_type, '') AS case_type, coalesce(year, 0) AS year,
-        coalesce(confidence, 0) AS confidence, coalesce(content_char_len, 0) AS content_char_len, length(coalesce(content_markdown, '')) AS n_chars FROM anle_unified""",
+    "unify_judgments": f"""SELECT {", ".join(f"coalesce({c}, '') AS {c}" for c in _JUDGMENT_STRINGS)}, {", ".join(f"coalesce({c}, 0) AS {c}" for c in _JUDGMENT_NUMBERS)},
+        to_json({{'text_hash': h ->> '$.text_hash', 'parser_model': h ->> '$.parser_model'}})::VARCHAR AS metadata_json
+        FROM (SELECT *, CASE WHEN json_valid(metadata_json) THEN metadata_json::JSON END AS h FROM anle_unified)""",
     "document_lengths": "SELECT doc_id, coalesce(n_chars, 0) AS n_chars, coalesce(lang, '') AS lang FROM documents",
     "statute_prefixes": f"""WITH p AS (SELECT doc_id, {_PARTS} AS parts FROM phapdien_unified)
         SELECT DISTINCT doc_id, CASE WHEN len(parts) = 0 THEN '' ELSE array_to_string(list_filter(parts, lambda x, i: i = 1 OR x <> parts[i - 1]), ' > ') || chr(10) END AS prefix FROM p""",
@@ -233,7 +256,7 @@ SQL = {
         FROM anle_unified""",
     "chunk_contexts": """SELECT DISTINCT chunk_id, CASE WHEN coalesce(chunk_text, '') <> '' AND ends_with(coalesce(embed_text, ''), chunk_text)
           THEN left(embed_text, length(embed_text) - length(chunk_text)) ELSE coalesce(embed_text, '') END AS context,
-        length('Instruct: Given a Vietnamese legal question, retrieve relevant legal passages that answer the question' || chr(10) || 'Query: ' || chunk_text) AS query_length FROM chunk""",
+        'Instruct: Given a Vietnamese legal question, retrieve relevant legal passages that answer the question' || chr(10) || 'Query: ' || chunk_text AS query FROM chunk""",
     "latest_scrape": "SELECT doc_id, max(scraped_at) AS scraped_at FROM phapdien_unified WHERE doc_id IS NOT NULL GROUP BY 1",
     "hierarchy_counts": """SELECT topic_id, subject_id, count(DISTINCT doc_id) AS n_articles, CAST(grouping(topic_id, subject_id) AS INTEGER) AS level
         FROM phapdien_unified GROUP BY ROLLUP (topic_id, subject_id)""",

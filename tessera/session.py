@@ -32,12 +32,15 @@ def local_session(cpus: int = 8, **conf: str) -> SparkSession:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, read back from the shared checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a folder is made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a folder is made on one machine; on a cluster, whose
+    executors would not share it, that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -56,6 +56,9 @@ def test_reports(spark):
     assert [(r.column_name, r.n_missing) for r in report.missing_values(df, ["k", "v"]).collect()] == [("k", 1), ("v", 1)]
     assert report.positive_range(df.limit(0), "v").first()[0] is None
     assert [r.value for r in report.value_counts(df, ["k"]).collect()] == ["a", None, "b"]
+    children = spark.createDataFrame([("p", "1", 2), ("p", "1", 2), ("p", "2", 4), ("q", "3", 9), (None, None, 1)], "parent string, child string, words long")
+    assert tuple(report.per_parent(children, "parent", "child", "words").first()) == (3, 3, 1.0, 5.0, 4.0)
+    assert tuple(report.failed_share(df, "k").first()) == (6, 5)
 
 
 def test_vector_search_against_brute_force(spark):
@@ -76,24 +79,30 @@ def test_vector_search_against_brute_force(spark):
 def test_full_text(spark):
     df = spark.createDataFrame([("a", "tòa án xã"), ("b", "Tòa tòa"), ("c", None), ("d", ""), ("e", "khác")], "key string, text string")
     assert [r.key for r in retrieve.full_text(df, "tòa", 10, "key", "text").collect()] == ["b", "a"]
-    assert {r.key: len(r.embedding) if r.embedding else None for r in retrieve.hashed_embeddings(df, "key", "text").collect()}["c"] is None
+    vectors = {r.key: r.embedding for r in retrieve.hashed_embeddings(df, "key", "text").collect()}
+    assert vectors["c"] is None and not any(vectors["d"]) and abs(sum(x * x for x in vectors["a"]) - 1) < 1e-6
+    assert vectors["b"] == [x for x in vectors["b"]] and sum(x != 0 for x in vectors["b"]) == 1
+    by_model = {r.key: r.embedding for r in retrieve.model_embeddings(df, "key", "text", lambda: lambda texts: np.array([[len(t), 0.0] for t in texts])).collect()}
+    assert by_model == {"a": [1.0, 0.0], "b": [1.0, 0.0], "c": None, "d": [0.0, 0.0], "e": [1.0, 0.0]}
+    with pytest.raises(ValueError):
+        retrieve.top_similar(spark.range(retrieve.MOST_QUERIES + 1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding")), spark.range(1).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding")), 1)
 
 
 def test_stream_resumes(spark, tmp_path):
     schema = T._parse_datatype_string("chunk_id string, embed_text string, chunk_text string")
     asked = tmp_path / "asked"
 
-    def model(context, content, budget):
+    def ask(prompt, budget):
         with open(asked, "a") as log:
-            log.write(content + "\n")
-        if "hỏng" in content:
+            log.write(prompt.removeprefix("Q: ") + "\n")
+        if "hỏng" in prompt:
             raise RuntimeError
         return '{"entities": [], "relations": []}', True
 
     for n, rows in enumerate(([("a", "", "căn cứ A"), ("b", "", "không")], [("a", "", "căn cứ A"), ("c", "", "căn cứ hỏng"), ("d", "", "căn cứ D")])):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
-        extract_new(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp{0}", model, "prompt", schema)
-    extract_new(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp{0}", model, "prompt", schema)
+        extract_new(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp{0}", ask, "Q: {content}", schema)
+    extract_new(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp{0}", ask, "Q: {content}", schema)
     results = [r.chunk_id for r in spark.read.parquet(f"{tmp_path}/out/*").collect()]
     assert sorted(results) == ["a", "d"] and sorted(set(asked.read_text().split("\n"))) == ["", "căn cứ A", "căn cứ D", "căn cứ hỏng"]
     assert asked.read_text().count("căn cứ A") == 1
@@ -130,6 +139,50 @@ def test_pipelines(spark, tmp_path):
     assert all(df.count() >= 0 for df in [*report_statutes(unified).values(), *report_judgments(judgments).values(), report_chunks(spark.read.parquet(f"{out}/statute_chunks.parquet"))])
 
 
+def test_raw_articles_and_missing_inputs(spark, tmp_path):
+    """Articles as they are published: links are arrays, topics have counts and no order, records have other names."""
+    from tessera.plans.corpus import STATUTE_TABLES, Job, chunk_and_link, extract, load_statutes
+
+    raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    columns = "record_id string, article_id string, article_title string, chapter_title string, topic_id string, topic_number long, topic_title_vi string, topic_title string, subject_id string, subject_number long, subject_title_vi string, subject_title string, content_text string, content_char_len long, content_word_count long, source_note_text string, related_note_text string, source_links array<struct<text:string,href:string>>, source_url string, scraped_at string, article_anchor string"
+    row = ("r1", "Điều 1", "T", "C", "1", 1, "", None, "s", 2, "own", None, "Căn cứ Luật số 1/2030/QH16, điều 5.", 9, 3, None, None, [("Luật số 1/2030", "?ItemID=7"), (None, None)], None, "x", None)
+    spark.createDataFrame([row, row[:17] + (None,) + row[18:]], columns).write.parquet(f"{raw}/articles.parquet")
+    spark.createDataFrame([("1", "Chủ đề", "e", "n", 3, 2)], "topic_id string, topic_title_vi string, topic_title_en string, topic_note string, article_count long, demuc_count long").write.parquet(f"{raw}/ontology_topics.parquet")
+    spark.createDataFrame([("s", "", "e", 3)], "subject_id string, subject_title_vi string, subject_title_en string, article_count long").write.parquet(f"{raw}/ontology_subjects.parquet")
+    for name in set(STATUTE_TABLES) - {"articles", "ontology_topics", "ontology_subjects"}:
+        spark.createDataFrame([("1", None)], "id string, note string").write.parquet(f"{raw}/{name}.parquet")
+    unified = load_statutes(spark, Job(raw, out))
+    assert sorted(r.source_links_json for r in unified.collect()) == ['[]', '[{"text":"Luật số 1/2030","href":"?ItemID=7"},{"text":"","href":""}]']
+    assert unified.first().hierarchy_path == "Chủ đề > own > C > T" and len(unified.columns) == 23
+
+    def model(context, content, budget):
+        return '{"entities": [{"name": "Luật A", "type": "VBPL"}], "relations": []}', True
+
+    nodes, edges = chunk_and_link(spark, Job(out, out), model)  # there are no judgments and no earlier results
+    assert "ENT::VBPL::luật a" in {r.id for r in nodes.collect()} and {r.label for r in nodes.collect()} == {"CHUNK", "ARTICLE", "ENTITY"}
+    chunks = spark.read.parquet(f"{out}/statute_chunks.parquet")
+    entities, _, failed = extract(spark, Job(out, str(tmp_path / "again")), [chunks], lambda *args: 1 / 0)
+    assert failed.count() == 0 and [r.name for r in entities.collect()] == ["Luật A"]  # nothing is asked twice
+    broken = extract(spark, Job(str(tmp_path / "none"), str(tmp_path / "again")), [chunks], lambda *args: 1 / 0)
+    assert broken[0].count() == 0 and [r.error for r in broken[2].collect()] == ["ZeroDivisionError"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tessera.session import cut_lineage
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context()
+            conf = {}
+
+    with pytest.raises(ValueError):
+        cut_lineage(Frame())
+
+
 def test_vectors_on_chunks(spark):
     chunks = spark.createDataFrame([("a", 5), ("b", None)], "chunk_id string, n int")
     vectors = spark.createDataFrame([("a", [2.0]), ("a", [1.0])], "key string, embedding array<float>")
