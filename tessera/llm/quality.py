@@ -266,7 +266,7 @@ def not_prose(documents: DataFrame, common_words: DataFrame, least_score: float
     one and the same kind of junk, they are no outliers any more, and a lower ``least_score`` is needed.
     """
     known = language_codes(common_words)
-    statistics = cut_lineage(document_statistics(documents, common_words))
+    statistics = cut_lineage(document_statistics(documents, common_words).select("lang", "digest", *SELECTING))
     stand_out = suspects(outlier_scores(statistics, "digest", least_texts, SELECTING), least_score, least_texts)
     rows = documents.where(F.col("text") != "").select("doc_id", "text", digest(F.col("text")).alias("digest"), language("lang", known).alias("lang"))
     judged = _sentence_share.asNondeterministic()("text")  # a deterministic one would be moved before the join, to all texts
