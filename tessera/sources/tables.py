@@ -43,6 +43,19 @@ def resolve_input(spark: SparkSession, base: str, schema: T.StructType) -> DataF
     raise FileNotFoundError(f"neither {base}.parquet nor {base}.jsonl")
 
 
+def resolve_inputs(spark: SparkSession, schemas: dict[str, T.StructType]) -> dict[str, DataFrame]:
+    """Several inputs that are all needed (SRC6): path without suffix to table; FileNotFoundError names every one that is missing."""
+    found, missing = {}, []
+    for base, schema in schemas.items():
+        try:
+            found[base] = resolve_input(spark, base, schema)
+        except FileNotFoundError:
+            missing.append(base)
+    if missing:
+        raise FileNotFoundError(f"neither Parquet nor JSON lines: {', '.join(missing)}")
+    return found
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A table that may be missing: then it is empty, and its stage does nothing (SRC7)."""
     try:

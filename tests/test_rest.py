@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tessera.operators import report, retrieve
 from tessera.operators.enrich import filled, last_per_key, links_json, unified_judgments, whole_number, with_ontology
-from tessera.sources.tables import latest_per_key, read_jsonl, read_or_empty, resolve_input, write_table
+from tessera.sources.tables import latest_per_key, read_jsonl, read_or_empty, resolve_input, resolve_inputs, write_table
 from tessera.streaming.resume import extract_new
 
 
@@ -21,6 +21,9 @@ def test_formats_round_trip(spark, tmp_path):
         write_table(df, str(tmp_path), "t", ("xml",))
     with pytest.raises(FileNotFoundError):
         resolve_input(spark, f"{tmp_path}/none", df.schema)
+    assert resolve_inputs(spark, {f"{tmp_path}/t": df.schema})[f"{tmp_path}/t"].count() == 2
+    with pytest.raises(FileNotFoundError, match="none.*other"):
+        resolve_inputs(spark, {f"{tmp_path}/none": df.schema, f"{tmp_path}/t": df.schema, f"{tmp_path}/other": df.schema})
     assert read_or_empty(spark, f"{tmp_path}/none.parquet", df.schema).count() == 0
 
 
