@@ -32,6 +32,9 @@ LOOK_ALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
     "Ð": "Đ", "Ɖ": "Đ",
+    "ɑ": "a", "ɡ": "g",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g",
 }
 # Hyphens drawn like the plain one.
 HYPHENS = "‐‑⁃﹣－−"
@@ -100,7 +103,7 @@ def _words() -> regex.Pattern:
 
 @cache
 def _foreign() -> regex.Pattern:
-    return regex.compile(r"[\p{Script=Cyrillic}\p{Script=Greek}]")
+    return regex.compile(r"[\p{Script=Cyrillic}\p{Script=Greek}\p{Script=Cherokee}\p{Script=Armenian}]")
 
 
 _TO_LATIN = str.maketrans(LOOK_ALIKES)
@@ -163,14 +166,15 @@ def with_canonical(df: DataFrame, column: str, into: str) -> DataFrame:
 def look_alike_pairs(records: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs ``key_a`` < ``key_b`` of records whose texts look the same without being the same characters.
 
-    Records with a null key or text take no part; a repeated row counts once. Texts are compared by a digest of their form, so whole
-    texts are shuffled once; a group of records with one and the same text makes no pairs within itself.
+    Records with a null key or text take no part; a repeated row counts once. Texts are compared by digests of their
+    form and of themselves: different texts of one form meet first, then their records, so many records with one text are never
+    compared with each other.
     """
     rows = records.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull() & F.col("_text").isNotNull())
     formed = with_canonical(rows, "_text", "_form").select("_key", F.sha2("_form", 256).alias("_form"), F.sha2("_text", 256).alias("_raw"))
-    formed = cut_lineage(formed.distinct())  # three readers follow; texts are formed once
-    mixed = formed.groupBy("_form").agg(F.min("_raw").alias("_low"), F.max("_raw").alias("_high")).where("_low != _high").select("_form")
-    formed = formed.join(mixed, "_form", "left_semi")
-    left = formed.select("_form", F.col("_key").alias("key_a"), F.col("_raw").alias("_raw_a"))
-    right = formed.select("_form", F.col("_key").alias("key_b"), F.col("_raw").alias("_raw_b"))
-    return left.join(right, "_form").where("key_a < key_b AND _raw_a != _raw_b").select("key_a", "key_b").distinct()
+    formed = cut_lineage(formed.distinct())  # several readers follow; texts are formed once
+    texts = formed.select("_form", "_raw").distinct()
+    different = texts.join(texts.withColumnRenamed("_raw", "_other"), "_form").where("_raw < _other").select("_raw", "_other")
+    own, other = formed.select(F.col("_raw"), F.col("_key").alias("_a")), formed.select(F.col("_raw").alias("_other"), F.col("_key").alias("_b"))
+    pairs = different.join(own, "_raw").join(other, "_other").where("_a != _b")
+    return pairs.select(F.least("_a", "_b").alias("key_a"), F.greatest("_a", "_b").alias("key_b")).distinct()

@@ -8,6 +8,7 @@ token totals of the sources meet their targets; then rates are turned into whole
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,31 +59,39 @@ def source_posteriors(labelled: DataFrame, unlabelled: DataFrame, sources: list[
     return scored.select("doc_id", F.transform("score", lambda x: x / total).alias("posterior"))
 
 
-def _rate(history: list[list[float]]) -> Column:
-    """The rate of a row (posterior, cap) after the steps so far: every step moves it along its expected residual and back into its bounds."""
+def _rate(history: list[list[float]], start: Column | None = None) -> Column:
+    """The rate of a row (posterior, cap) after some steps: every step moves it along its expected residual and back into its bounds."""
+    start = F.lit(0.0) if start is None else start
     if not history:
-        return F.lit(0.0)
+        return start
     steps = F.array(*[F.array(*[F.lit(float(x)) for x in step]) for step in history])
     along = lambda step: F.aggregate(F.zip_with("posterior", step, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.lit(0.0), lambda rate, step: F.least(F.col("cap"), F.greatest(F.lit(0.0), rate + along(step))))
+    return F.aggregate(steps, start, lambda rate, step: F.least(F.col("cap"), F.greatest(F.lit(0.0), rate + along(step))))
 
 
-def fit_rates(members: DataFrame, goals: list[float], steps: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
+def fit_rates(members: DataFrame, goals: list[float], steps: int = 40, tolerance: float = 1e-4, written: int = 8) -> list[list[float]]:
     """The gradient steps that bring the expected totals of (tokens, cap, posterior) to the ``goals``; only totals reach the driver.
 
     The gradient of a source is scaled by the tokens that can belong to it, so one step suffices where no bound is met and memberships
-    are certain. It ends when every residual is within ``tolerance`` of all goals together, or after ``steps``.
+    are certain. It ends when every residual is within ``tolerance`` of all goals together, or, with a warning, after ``steps``. The rates
+    are written every ``written`` steps, so that no step repeats more than those.
     """
     size = len(goals)
     reach = members.agg(*[F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(size)]).first()
     history: list[list[float]] = []
-    for _ in range(steps):
-        rated = members.withColumn("rate", _rate(history))
+    rated = members.withColumn("rate", F.lit(0.0))
+    for step in range(steps + 1):
         totals = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("posterior")[i]) for i in range(size)]).first()
         residual = [g - float(t or 0) for g, t in zip(goals, totals)]
         if max(map(abs, residual)) <= tolerance * max(1.0, sum(goals)):
             break
+        if step == steps:
+            warnings.warn(f"rates are off by {max(map(abs, residual)):.0f} of {sum(goals):.0f} tokens after {steps} steps", stacklevel=2)
+            break
         history.append([r / float(n) if n else 0.0 for r, n in zip(residual, reach)])
+        rated = rated.withColumn("rate", _rate(history[-1:], F.col("rate")))
+        if step % written == written - 1:
+            rated = cut_lineage(rated)
     return history
 
 

@@ -50,6 +50,8 @@ def _without_accents(text: str) -> str:
 
 
 _PLAIN_PREDICATES = {_without_accents(p) for p in PREDICATES} - {"da", "can", "nen", "lap", "vi"}
+#: The single words of the predicates, with and without accents.
+CLAUSE_WORDS = {p for p in PREDICATES | _PLAIN_PREDICATES if " " not in p}
 
 
 @cache
@@ -180,21 +182,21 @@ def document_statistics(documents: DataFrame, common_words: DataFrame, key: str
     common = F.lit(0)
     for code, own in [*sorted(listed.items()), ("other", sorted({w for ws in listed.values() for w in ws}))]:
         common = F.when(F.col("lang") == code, F.size(F.filter("_words", _among(own)))).otherwise(common)
-    clause = sorted(p for p in PREDICATES | _PLAIN_PREDICATES if " " not in p)
     marks = F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?…;:,][\"'”’»)\]]*\s*$")))
-    ratio = lambda part, whole: F.round(part / F.greatest(whole, F.lit(1)), 4)
+    # Rounded by whole numbers, so that every engine rounds alike.
+    ratio = lambda part, whole, places=10_000: F.floor((part * (2 * places) + F.greatest(whole, F.lit(1))) / (2 * F.greatest(whole, F.lit(1)))) / places
     letters = F.length(F.array_join("_words", ""))
     return rows.select(
         "doc_id",
         "lang",
         digest(F.col("text")).alias("digest"),
         n.cast("double").alias("word_count"),
-        F.round(letters / F.greatest(n, F.lit(1)), 2).alias("mean_word_length"),
+        ratio(letters, n, 100).alias("mean_word_length"),
         ratio(F.regexp_count("text", F.lit(r"[^\p{L}\p{M}\p{N}\s]")), chars).alias("symbol_ratio"),
         ratio(F.regexp_count("text", F.lit(r"\p{N}")), chars).alias("digit_ratio"),
         ratio(marks, F.size("_lines")).alias("punctuated_lines"),
         ratio(common, n).alias("common_words"),
-        ratio(F.size(F.filter("_words", _among(clause))), n).alias("clause_words"),
+        ratio(F.size(F.filter("_words", _among(sorted(CLAUSE_WORDS)))), n).alias("clause_words"),
         ratio(F.size(F.array_distinct("_words")), n).alias("distinct_words"),
     )
 

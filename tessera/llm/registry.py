@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.canonical import HYPHENS, LOOK_ALIKES, look_alike_pairs
+from tessera.llm.canonical import look_alike_pairs
 from tessera.llm.mixing import distinct_texts, reached_shares, select_mix
 from tessera.llm.names import link_spellings, spelling_pairs
 from tessera.llm.packing import fill_report, pack
-from tessera.llm.quality import document_statistics, not_prose, outlier_scores
-from tessera.llm.splitting import oversized, with_pieces
+from tessera.llm.quality import CLAUSE_WORDS, TAILS, document_statistics, not_prose, outlier_scores
+from tessera.llm.splitting import WHITE_SPACE, oversized, with_pieces
 from tessera.llm.tokens import with_tokens
 from tessera.llm.vectors import most_similar, neighbour_pairs
 from tessera.session import cut_lineage, spread
@@ -65,6 +65,29 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Per oversized text: its length without outer white space as its pieces span it, and what must not be: pieces over the limit, pieces
+    that are not what stands at their place, characters left out, overlaps that are too wide."""
+    parts = []
+    for table, column in SPLIT_TABLES:
+        rows = with_pieces(oversized(read_table(spark, folder, table), "doc_id", column), "text", "pieces")
+        pairs = F.zip_with(F.slice("pieces", 1, F.size("pieces") - 1), F.slice("pieces", 2, F.size("pieces") - 1), lambda a, b: F.struct(a.end.alias("end"), b.start.alias("start")))
+        between = F.transform(pairs, lambda p: F.when(p.start > p.end, F.col("text").substr(p.end + 1, p.start - p.end)).otherwise(""))
+        number = lambda array, wrong: F.size(F.filter(array, wrong))
+        parts.append(
+            rows.where(F.size("pieces") > 0).select(
+                F.lit(table).alias("source_table"),
+                "doc_id",
+                (F.element_at("pieces", -1).end - F.element_at("pieces", 1).start).cast("long").alias("n_chars"),
+                number("pieces", lambda p: F.length(p.text) > 1000).alias("too_long"),
+                number("pieces", lambda p: p.text != F.col("text").substr(p.start + 1, p.end - p.start)).alias("altered"),
+                number(between, lambda gap: F.btrim(gap, F.lit(WHITE_SPACE)) != "").alias("left_out"),
+                number(pairs, lambda p: p.end - p.start > 150).alias("wide_overlaps"),
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
 def sized_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, source, n_tokens) of every document."""
     documents = spread(read_table(spark, folder, "documents").select("doc_id", "source", "text"))
@@ -82,6 +105,30 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p6_containers(spark, folder))
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind of container: the packed texts, and what must not be: texts packed in part or twice, overfull containers, texts split
+    although they fit into one."""
+    packed = cut_lineage(p6_containers(spark, folder))
+    sizes = sized_documents(spark, folder).where("n_tokens > 0").select("doc_id", "n_tokens")
+    texts = packed.groupBy("container_kind", "capacity", "doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("n")).join(sizes, "doc_id", "left")
+    per_kind = texts.groupBy("container_kind").agg(
+        F.count("*").alias("texts"),
+        F.count_if(F.coalesce(F.col("size") != F.col("n_tokens"), F.lit(True))).alias("broken"),
+        F.count_if(F.col("n") > F.ceil(F.col("n_tokens") / F.col("capacity"))).alias("split_needlessly"),
+    )
+    full = packed.groupBy("container_kind", "window", "container").agg(F.sum("size").alias("size"), F.first("capacity").alias("capacity"))
+    return per_kind.join(full.groupBy("container_kind").agg(F.count_if(F.col("size") > F.col("capacity")).alias("overfull")), "container_kind")
+
+
+def p7_caps(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source, whether a text of it is used more often than allowed and how many are chosen twice; a source without a target that has
+    texts would come out without share."""
+    each = p7_selection(spark, folder).where("source IS NOT NULL").groupBy("source", "doc_id").agg(F.max("copies").alias("copies"), F.count("*").alias("n"))
+    used = each.groupBy("source").agg(F.max("copies").alias("most"), F.count_if(F.col("n") > 1).alias("twice"))
+    both = read_table(spark, folder, "mix_targets").join(used, "source", "full")
+    return both.select("source", "target_share", "max_repeats", (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).alias("over_cap"), F.coalesce("twice", F.lit(0)).alias("chosen_twice"))
+
+
 def p7_mixed(spark: SparkSession, folder: str) -> DataFrame:
     """The texts of the mix with their copies and memberships."""
     texts = with_tokens(distinct_texts(spread(read_table(spark, folder, "documents")), "doc_id", "text", "source"), "text")
@@ -105,7 +152,8 @@ LEAST_TEXTS = 100
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Quality statistics and outlier score of every text."""
     statistics = document_statistics(spread(read_table(spark, folder, "documents")), read_table(spark, folder, "common_words"))
-    return outlier_scores(cut_lineage(statistics), "digest", LEAST_TEXTS).drop("digest", "ranked_among")
+    scored = outlier_scores(cut_lineage(statistics), "digest", LEAST_TEXTS)
+    return scored.withColumn("score", F.round("score", 6)).drop("digest")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,14 +165,44 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 _WHITE = "\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
 
+# Fixed values of the SQL, written down apart from the operator's: letters, hyphens and spaces that look plain, and what is not seen.
 _SPACES = "\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-_NARROW_HYPHENS = "".join(h for h in HYPHENS if h not in _WIDE)
-_WRITTEN = "".join(LOOK_ALIKES) + _NARROW_HYPHENS + _SPACES + _WIDE
-_PLAIN = "".join(LOOK_ALIKES.values()) + "-" * len(_NARROW_HYPHENS) + " " * len(_SPACES) + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
-_UNSEEN = "[\\x{AD}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
+_CYRILLIC, _AS_CYRILLIC = "АВЕКМНОРСТУХІЈЅҮԚԜаеорсухіјѕһԁԛԝү", "ABEKMHOPCTYXIJSYQWaeopcyxijshdqwy"
+_GREEK, _AS_GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ", "ABEZHIKMNOPTYXovcj"
+_STROKES, _AS_STROKES = "ÐƉ", "ĐĐ"
+_DASHES = "\u2010\u2011\u2043\ufe63\u2212"
+_WRITTEN = _CYRILLIC + _GREEK + _STROKES + _DASHES + _SPACES + _WIDE
+_PLAIN = _AS_CYRILLIC + _AS_GREEK + _AS_STROKES + "-" * len(_DASHES) + " " * len(_SPACES) + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+_UNSEEN = "[\\x{AD}\\x{34F}\\x{61C}\\x{180B}-\\x{180F}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}\\x{E0100}-\\x{E01EF}]"
 _FORM = f"""nfc_normalize(translate(regexp_replace(t, '{_UNSEEN}', '', 'g'), '{_WRITTEN.replace("'", "''")}', '{_PLAIN.replace("'", "''")}'))"""
 
+def sql_ratio(part: str, whole: str, places: int = 10_000) -> str:
+    return f"floor(({part} * {2 * places} + greatest({whole}, 1)) / (2 * greatest({whole}, 1))) / {places}"
+
+
+_CLAUSE = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(CLAUSE_WORDS))
+_SIDES = {"low": "upto", "high": "from_on", "both": "least(upto, from_on)"}
+_STATISTICS = f"""d AS (
+      SELECT doc_id, text, CASE WHEN lower(trim(lang)) IN (SELECT lang FROM common_words) THEN lower(trim(lang)) ELSE 'other' END AS lang,
+        list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> '') AS words, list_filter(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: trim(x) <> '') AS lines
+      FROM documents WHERE text <> ''
+    ), c AS (SELECT lang, list(word) AS common FROM common_words GROUP BY 1 UNION ALL SELECT 'other', list(DISTINCT word) FROM common_words
+    ), counted AS (
+      SELECT doc_id, lang, text, len(words) AS n, length(text) AS chars, length(array_to_string(words, '')) AS letters, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s\\x{{B}}]')) AS symbols,
+        len(regexp_extract_all(text, '\\p{{N}}')) AS digits, len(lines) AS lines, len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…;:,]["''”’»)\\]]*[\\s\\x{{B}}]*$'))) AS marks,
+        len(list_filter(words, lambda w: list_contains(common, w))) AS common, len(list_filter(words, lambda w: list_contains([{_CLAUSE}], w))) AS clause, len(list_distinct(words)) AS different
+      FROM d JOIN c USING (lang)
+    ), st AS (
+      SELECT doc_id, lang, text, CAST(n AS DOUBLE) AS word_count, {sql_ratio('letters', 'n', 100)} AS mean_word_length, {sql_ratio('symbols', 'chars')} AS symbol_ratio, {sql_ratio('digits', 'chars')} AS digit_ratio,
+        {sql_ratio('marks', 'lines')} AS punctuated_lines, {sql_ratio('common', 'n')} AS common_words, {sql_ratio('clause', 'n')} AS clause_words, {sql_ratio('different', 'n')} AS distinct_words FROM counted
+    ), texts AS (SELECT DISTINCT ON (lang, text) * FROM st), own AS (SELECT lang FROM texts WHERE lang <> 'other' GROUP BY 1 HAVING count(*) >= {LEAST_TEXTS}
+    ), pool AS (SELECT lang AS ranks, * FROM texts WHERE lang IN (SELECT lang FROM own) UNION ALL SELECT '*', * FROM texts
+    ), v AS ({" UNION ALL ".join(f"SELECT ranks, '{s}' AS statistic, {s} AS value FROM pool" for s in TAILS)}
+    ), r AS (SELECT ranks, statistic, value, count(*) AS k FROM v GROUP BY ALL
+    ), t AS (SELECT ranks, statistic, value, sum(k) OVER (PARTITION BY ranks, statistic ORDER BY value) AS upto, sum(k) OVER (PARTITION BY ranks, statistic ORDER BY value DESC) AS from_on, sum(k) OVER (PARTITION BY ranks, statistic) AS whole FROM r
+    ), p AS (SELECT ranks, statistic, value, -ln((CASE statistic {" ".join(f"WHEN '{s}' THEN {_SIDES[side]}" for s, side in TAILS.items())} END) / whole) AS part, whole FROM t)"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_bearers": p1_bearers,
@@ -132,10 +210,13 @@ QUERIES = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
+    "p4_coverage": p4_coverage,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_packed": p6_packed,
     "p7_selection": p7_selection,
     "p7_shares": p7_shares,
+    "p7_caps": p7_caps,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
 }
@@ -152,4 +233,15 @@ SQL = {
 FROM {table} WHERE length({column}) > 1000 GROUP BY doc_id"""
         for table, column in SPLIT_TABLES
     ),
+    "p4_coverage": "\nUNION ALL\n".join(
+        f"""SELECT '{table}' AS source_table, doc_id, length(regexp_replace(min({column}), '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')) AS n_chars, 0 AS too_long, 0 AS altered, 0 AS left_out, 0 AS wide_overlaps
+FROM {table} WHERE length({column}) > 1000 AND doc_id IS NOT NULL GROUP BY doc_id HAVING regexp_matches(min({column}), '[^{_WHITE}]')"""
+        for table, column in SPLIT_TABLES
+    ),
+    "p8_scores": f"""WITH {_STATISTICS}, ranked AS (SELECT row_number() OVER () AS row, st.*, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '*' END AS ranks FROM st),
+        long AS ({" UNION ALL ".join(f"SELECT row, ranks, '{s}' AS statistic, {s} AS value FROM ranked" for s in TAILS)}),
+        scored AS (SELECT row, round(sum(part), 6) AS score, CAST(max(whole) AS BIGINT) AS ranked_among FROM long JOIN p USING (ranks, statistic, value) GROUP BY 1)
+        SELECT ranked.* EXCLUDE (row, text, ranks), score, ranked_among FROM ranked JOIN scored USING (row)""",
+    "p6_packed": "SELECT container_kind, (SELECT count(*) FROM documents WHERE text <> '') AS texts, 0 AS broken, 0 AS split_needlessly, 0 AS overfull FROM pack_limits",
+    "p7_caps": "SELECT source, target_share, max_repeats, false AS over_cap, 0 AS chosen_twice FROM mix_targets",
 }
