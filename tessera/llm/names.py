@@ -104,6 +104,7 @@ _NUMBER = re.compile(r"\d+(?:[./-]\d+)*(?:/[^\W\d_][\w-]*)?")
 _ABBREVIATION = re.compile(r"(?<!\w)(?:[^\W\d_]\.){2,}[^\W\d_]?(?!\w)|(?<!\w)[^\W\d_](?:\.[^\W\d_])+(?!\w)")
 
 
+@lru_cache(maxsize=200_000)
 def plain(token: str) -> str:
     """A token without accents; keys typed for accents that were not turned into them are taken back."""
     flat = "".join(c for c in unicodedata.normalize("NFD", token.replace("đ", "d")) if not unicodedata.combining(c))
@@ -130,10 +131,25 @@ def _heads() -> tuple[dict[str, tuple[str, str]], Trie]:
     return exact, trie
 
 
+@cache
+def _head_runs() -> frozenset[str]:
+    return frozenset(word[i : i + 3] for word in _heads()[0] for i in range(len(word) - 2))
+
+
+@cache
+def _head_forms() -> frozenset[str]:
+    return frozenset(form for word in _heads()[0] for form in deletions(word, 1))
+
+
 @lru_cache(maxsize=200_000)
 def _misspelt_head(word: str) -> tuple[int, str, str] | None:
     """The nearest head, with its edits; short words cannot be misspelt."""
     allowed = 0 if len(word) < 7 else 1 if len(word) < 14 else 2
+    # Cheap tests that every such word passes: two edits leave two runs of three letters, one edit a form with at most one letter less.
+    if allowed == 2 and sum(word[i : i + 3] in _head_runs() for i in range(len(word) - 2)) < 2:
+        return None
+    if allowed == 1 and deletions(word, 1).isdisjoint(_head_forms()):
+        return None
     return min(((edits, *value) for edits, value in _heads()[1].near(word, allowed)), default=None) if allowed else None
 
 
@@ -239,9 +255,16 @@ def _without_sector(tokens: list[str]) -> list[str]:
 
 @lru_cache(maxsize=200_000)
 def _is_sector(word: str) -> bool:
+    if deletions(word, 1).isdisjoint(_sector_forms()):  # no word within one edit
+        return False
     return any(True for _ in _sectors().near(word, 0 if len(word) < 6 else 1))
 
 
+@cache
+def _sector_forms() -> frozenset[str]:
+    return frozenset(form for sector in SECTORS for word in _shortened(sector) for form in deletions(word, 1))
+
+
 @cache
 def _sectors() -> Trie:
     trie = Trie()
@@ -422,15 +445,17 @@ def near_forms(forms: DataFrame, most: int = 300) -> DataFrame:
 
 def _counts(rows: DataFrame) -> DataFrame:
     """The shards in which forms can meet, with the number of their forms: two of equal tokens, two of different rests, or two roles."""
+    flag = lambda condition: F.max(condition.cast("int"))
+    rest, equal, full = F.xxhash64("rest"), F.col("rest") == "", F.col("role") == "full"
     counts = rows.groupBy("shard").agg(
-        F.count("*").alias("n"), F.min("rest").alias("rest"), F.max("rest").alias("_rest"), F.min("role").alias("role"), F.max("role").alias("_role")
+        F.count("*").alias("n"), F.min(rest).alias("_low"), F.max(rest).alias("_high"), flag(equal).alias("equal"), flag(full).alias("_full"), flag((F.col("role") != "") & ~full).alias("_short")
     )
-    meeting = F.when(F.col("_role") != "", F.col("role") != F.col("_role")).otherwise((F.col("rest") != F.col("_rest")) | (F.col("rest") == ""))
-    return counts.where(meeting & (F.col("n") > 1)).select("shard", "n", "rest")
+    meeting = F.when((F.col("_full") > 0) | (F.col("_short") > 0), (F.col("_full") > 0) & (F.col("_short") > 0)).otherwise((F.col("_low") != F.col("_high")) | (F.col("equal") > 0))
+    return counts.where(meeting & (F.col("n") > 1)).select("shard", "n", (F.col("equal") > 0).alias("equal"))
 
 
 def _hot(most: int):
-    return (F.col("n") > most) & (F.col("rest") != "")
+    return (F.col("n") > most) & ~F.col("equal")
 
 
 def _split(rows: DataFrame, most: int) -> DataFrame:
