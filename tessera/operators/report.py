@@ -14,9 +14,11 @@ def top_groups(df: DataFrame, key: str, value: str, top: int = 10) -> DataFrame:
 
 
 def number_summary(df: DataFrame, value: str) -> DataFrame:
-    """Sum, mean, least, most and interpolated median (AGG3, AGG7); nulls are left out."""
-    v = F.col(value)
-    return df.agg(F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.median(v).alias("median"))
+    """Sum, mean, least, most and interpolated median (AGG3, AGG7); nulls are left out. Equal values are counted first, so the median needs
+    only the distinct ones; without any value all are null."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    total = F.sum(F.col("v") * F.col("c"))
+    return counts.agg(total.alias("total"), (total / F.sum("c")).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile("v", 0.5, F.col("c")).alias("median"))
 
 
 def missing_values(df: DataFrame, columns: list[str]) -> DataFrame:
