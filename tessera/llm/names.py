@@ -492,28 +492,34 @@ def _search_tries(rows: DataFrame) -> DataFrame:
 
 
 def _join_tries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by shard: one trie is held at a time."""
+    """Rows come sorted by shard: one trie is held at a time; shards of equal names are linked as they are read."""
     rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
     found: list[tuple] = []
-    for _, group in groupby(rows, key=lambda r: r[0]):
-        group = list(group)
-        found += _meet_short(group) if group[0][2] else _equal(group) if not group[0][1] else _meet(group)
-        if len(found) > 20_000:
-            yield pd.DataFrame(found, columns=["a", "b", "weak", "cost"])
-            found = []
+    for (_, equal), group in groupby(rows, key=lambda r: (r[0], not r[1] and not r[2])):
+        for link in _equal(group) if equal else _different(list(group)):
+            found.append(link)
+            if len(found) >= 20_000:
+                yield pd.DataFrame(found, columns=["a", "b", "weak", "cost"])
+                found = []
     yield pd.DataFrame(found, columns=["a", "b", "weak", "cost"])
 
 
-def _equal(group: list[tuple]) -> Iterator[tuple]:
-    """All tokens agree: each form is linked to the first of its level, a level that is not written to every other."""
-    levels: dict[str, list] = {}
+def _equal(group: Iterator[tuple]) -> Iterator[tuple]:
+    """All tokens agree: each form is linked to the first of its level, and a level that is not written to every other."""
+    firsts: dict[str, object] = {}
     for row in group:
-        levels.setdefault(row[4], []).append(row[3])
-    for level, ids in levels.items():
-        first = min(ids)
-        yield from ((first, other, False, 0) for other in ids if other != first)
-        if level and "" in levels:
-            yield min(levels[""]), first, False, 0
+        level, own = row[4], row[3]
+        if level in firsts:
+            yield firsts[level], own, False, 0
+            continue
+        firsts[level] = own
+        for other, first in firsts.items():
+            if other != level and (not other or not level):
+                yield first, own, False, 0
+
+
+def _different(group: list[tuple]) -> Iterator[tuple]:
+    return _meet_short(group) if group[0][2] else _meet(group)
 
 
 def _meet(group: list[tuple]) -> Iterator[tuple]:
