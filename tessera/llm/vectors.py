@@ -25,8 +25,7 @@ class Search:
     ``k`` neighbours; vectors are ``size`` long; about ``shard_rows`` vectors in a shard; at most about ``max_pivots`` sampled pivots,
     which every task holds in memory (64 numbers each: 16 MB). ``route_factor`` relaxes the choice of shards, ``tree_factor`` the
     pruning within one. Where ``route_factor`` is None both are fitted, so that of the true neighbours of ``fit_queries`` vectors, compared
-    with all others, the share ``target`` lies in shards that are let in;
-    more are found, for the search knows a wider bound at first. A vector whose neighbours were mostly cut off from its shard
+    with all others, the share ``target`` lies in shards that are let in. A vector whose neighbours were mostly cut off from its shard
     looks for them no farther than ``bound_factor`` times the shard's median distance to a k-th neighbour. With ``half`` vectors visit
     other shards as whole numbers of 16 bits, which leaves an error under 0.0001 in such a pair's similarity. 1, 1, infinity and False make
     the search exact. ``leaf_rows`` vectors end a branch. From ``hot_copies`` equal vectors on, only k + 1 of them are searched; the
@@ -39,7 +38,7 @@ class Search:
     max_pivots: int = 65_536
     route_factor: float | None = None
     tree_factor: float | None = None
-    target: float = 0.83
+    target: float = 0.92
     fit_queries: int = 256
     bound_factor: float = 1.6
     half: bool = True
@@ -192,44 +191,55 @@ def _nearest_pivot(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def _fitted(rows: DataFrame, pivots: np.ndarray, search: Search) -> Search:
     """The search with factors that let in the shards of ``target`` of the true neighbours of a bounded sample of vectors.
 
-    The sample is compared with all vectors: a task keeps a few rows per sampled vector, the driver gets k. A neighbour in a shard whose
-    pivot lies farther by a gap is let in up to the factor 2 * distance to the k-th neighbour / gap.
+    The sample is compared with all vectors: a task keeps a few rows per sampled vector, over all and in its own shard; the driver gets k of
+    both. Those in its own shard give the bound that the search will start from; a neighbour in a shard whose pivot lies farther by a gap
+    is let in up to the factor 2 * bound / gap.
     """
     chosen = rows.select("id", "vector", F.xxhash64("id", F.lit("query")).alias("_at")).dropDuplicates(["id"]).orderBy("_at", "id").limit(search.fit_queries).collect()
     if len(chosen) < 2 or len(pivots) < 2:
         return replace(search, route_factor=1.0, tree_factor=1.0)
     ids, queries = [r.id for r in chosen], unit(np.array([r.vector for r in chosen], dtype=np.float32))
-    shared = rows.sparkSession.sparkContext.broadcast((ids, queries))
+    own_home = _nearest_pivot(queries, pivots)
+    shared = rows.sparkSession.sparkContext.broadcast((ids, queries, own_home, pivots))
     keep = 2 * search.k + 1
-    schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("cosine", T.DoubleType()), T.StructField("vector", T.BinaryType())])
+    schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("cosine", T.DoubleType()), T.StructField("vector", T.BinaryType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_ids, own = shared.value
-        best = {}
+        own_ids, own, homes, centres = shared.value
+        best: dict[tuple[int, bool], list] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             points = unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, search.size))
-            there = batch.column("id").to_pylist()
+            there, shard = batch.column("id").to_pylist(), _nearest_pivot(points, centres)
             for at, cosine in enumerate(own @ points.T):
-                top = np.argpartition(-cosine, min(keep, len(cosine)) - 1)[:keep]
-                found = best.get(at, []) + [(-float(cosine[i]), there[i], points[i]) for i in top if there[i] != own_ids[at]]
-                best[at] = sorted(found, key=lambda x: x[:2])[:keep]
-        flat = [(at, i, -c, v) for at, hits in best.items() for c, i, v in hits]
+                for home, among in ((False, np.arange(len(cosine))), (True, np.flatnonzero(shard == homes[at]))):
+                    top = among[np.argpartition(-cosine[among], min(keep, len(among)) - 1)[:keep]] if len(among) else among
+                    found = best.get((at, home), []) + [(-float(cosine[i]), there[i], points[i]) for i in top if there[i] != own_ids[at]]
+                    best[at, home] = sorted(found, key=lambda x: x[:2])[:keep]
+        flat = [(at, home, i, -c, v) for (at, home), hits in best.items() for c, i, v in hits]
         if flat:
-            numbers, names, cosines, vectors = zip(*flat)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(names, batch.schema.field("id").type), pa.array(cosines), _pack(np.stack(vectors))], names=["query", "id", "cosine", "vector"])
-
-    near = rows.select("id", "vector").mapInArrow(compare, schema).dropDuplicates(["query", "id"])
-    place = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "id")
-    near = near.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= search.k).collect()
+            numbers, own_shard, names, cosines, vectors = zip(*flat)
+            columns = [pa.array(numbers, pa.int32()), pa.array(own_shard), pa.array(names, batch.schema.field("id").type), pa.array(cosines), _pack(np.stack(vectors))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    near = rows.select("id", "vector").mapInArrow(compare, schema).dropDuplicates(["query", "home", "id"])
+    place = Window.partitionBy("query", "home").orderBy(F.col("cosine").desc(), "id")
+    rows_near = near.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= search.k).collect()
+    near, at_home = [r for r in rows_near if not r.home], [r for r in rows_near if r.home]
     if not near:
         return replace(search, route_factor=1.0, tree_factor=1.0)
+    reach = np.full(len(queries), np.inf)
+    for r in at_home:
+        if r["_rank"] == search.k:
+            reach[r["query"]] = chord(np.array(r.cosine))
+    middle = float(np.median(reach))
+    if np.isfinite(middle) and middle > 0:
+        reach = np.minimum(reach, middle * search.bound_factor)
+    if len(pivots) > search.k + 1:
+        reach = np.minimum(reach, np.partition(chord(queries @ pivots.T), search.k, axis=1)[:, search.k])
     at = np.array([r["query"] for r in near])
-    reach = np.zeros(len(queries))
-    np.maximum.at(reach, at, chord(np.array([r.cosine for r in near])))
     home = _nearest_pivot(np.frombuffer(b"".join(r.vector for r in near), dtype=np.float32).reshape(-1, search.size), pivots)
-    own_home = _nearest_pivot(queries, pivots)
     gap = chord(np.einsum("ij,ij->i", queries[at], pivots[home])) - chord(np.einsum("ij,ij->i", queries, pivots[own_home]))[at]
     allowed = np.where(home == own_home[at], np.inf, 2 * reach[at] / np.maximum(gap, 1e-9))
     route = float(np.clip(np.sort(allowed)[int((1 - search.target) * len(allowed))], 1.0, 64.0))
